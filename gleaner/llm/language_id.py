@@ -5,7 +5,7 @@ hashed into buckets. A text's embedding is the mean over its n-grams, and a line
 probabilities. Stochastic gradient descent in numpy trains embeddings and softmax on a sample of labelled rows, bounded by
 ``per_language`` rows of each language (the rows of least hash) of up to ``max_train_chars`` characters; they are cut into passages, so
 that short texts are met in training too. Held-out rows calibrate a temperature, and the least probability at which a prediction
-is accepted: the ``false_reject`` quantile of what held-out texts' true languages get. As mean and softmax are
+is accepted: ``SURE``, or the ``false_reject`` quantile of what rightly predicted held-out texts get, if that is less. As mean and softmax are
 linear in the embeddings, scoring adds one row of a buckets-by-languages table for each n-gram of the whole text.
 
 Defined cases: null, empty and letterless texts have no language: confidence 0, rejected. Rows without a label are scored but not
@@ -29,6 +29,8 @@ from gleaner.llm._text import segment_sums, text_bytes
 BUCKET_BITS, ORDERS, DIMENSIONS = 15, (2, 3, 4), 16
 _GAP = np.arange(256, dtype=np.uint8)
 _GAP[[b for b in range(128) if not chr(b).isalpha()]] = 32
+#: A text in two languages gets about a half for each, a foreign one little more than any language's share of one.
+SURE = 0.42
 SCORED = "doc_id bigint, language string, confidence double, accepted boolean"
 
 
@@ -39,10 +41,10 @@ def subwords(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     none = 1 << BUCKET_BITS
     code = raw.astype(np.uint32)
     ids, count = [], np.zeros(len(offsets) - 1, dtype=np.int64)
-    blank = raw == 32
+    single = blank = raw == 32
     for n in range(2, max(ORDERS) + 1):
         later, also = np.full(len(raw), 32, dtype=np.uint32), np.ones(len(raw), dtype=bool)
-        later[: -n + 1 or None], also[: -n + 1 or None] = raw[n - 1 :], blank[n - 1 :]
+        later[: -n + 1 or None], also[: -n + 1 or None] = raw[n - 1 :], single[n - 1 :]
         code = code | later << np.uint32(8 * (n - 1))
         blank = blank & also
         if n not in ORDERS:
@@ -54,7 +56,8 @@ def subwords(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
             bucket[at[at >= offsets[:-1]]] = none
         ids.append(bucket)
         count += segment_sums((bucket != none).astype(np.int32), offsets)
-    return ids, offsets, count
+    lettered = pc.match_substring_regex(column.cast(pa.large_string()), r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
+    return ids, offsets, np.where(lettered, count, 0)
 
 
 @dataclass
@@ -79,7 +82,7 @@ def passages(texts: list[str], size: int) -> list[tuple[int, str]]:
     return [(i, t[a : a + size]) for i, t in enumerate(texts) for a in range(0, max(1, len(t)), size)]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 20.0, batch: int = 64, held: float = 0.25, false_reject: float = 0.0005, seed: int = 3) -> Model:
+def train(texts: list[str], labels: list[str], epochs: int = 2, rate: float = 20.0, batch: int = 64, held: float = 0.25, false_reject: float = 0.0005, seed: int = 3) -> Model:
     """The model of labelled texts; the last ``held`` part of them, in random order, calibrates it."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
@@ -90,8 +93,12 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 20
     deep = np.zeros((buckets, DIMENSIONS), dtype=np.float32)
     out = rng.normal(0, 1 / np.sqrt(DIMENSIONS), (DIMENSIONS, len(languages))).astype(np.float32)
     own = [texts[i] for i in order[:cut]]
-    parts = [p for size in (80, 400) for p in passages(own, size)]
+    parts = [p for size in (60, 300) for p in passages(own, size)]
     ids, offsets, _ = subwords(pa.array([t for _, t in parts]))
+    grams, owner = np.concatenate(ids), np.tile(np.repeat(np.arange(len(parts)), np.diff(offsets)), len(ids))
+    order_ = np.argsort(owner[grams != buckets - 1], kind="stable")
+    grams, owner = grams[grams != buckets - 1][order_], owner[grams != buckets - 1][order_]
+    edges = np.searchsorted(owner, np.arange(len(parts) + 1))
     goal = target[order[:cut]][[i for i, _ in parts]]
     steps = epochs * -(-len(parts) // batch)
     step = 0
@@ -99,14 +106,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 20
         shuffled = rng.permutation(len(parts))
         for at in range(0, len(parts), batch):
             some = shuffled[at : at + batch]
-            grams = [np.concatenate([b[offsets[i] : offsets[i + 1]] for b in ids]) for i in some]
-            size = np.array([len(g) for g in grams])
+            size = edges[some + 1] - edges[some]
             row = np.repeat(np.arange(len(some)), size)
-            grams = np.concatenate(grams)
-            real = grams != buckets - 1
-            grams, row = grams[real], row[real]
+            held_grams = grams[np.repeat(edges[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
             n = np.bincount(row, minlength=len(some))
-            mean = segment_sums(deep[grams], np.r_[0, np.cumsum(n)]) / np.maximum(n, 1)[:, None]
+            mean = segment_sums(deep[held_grams], np.r_[0, np.cumsum(n)]) / np.maximum(n, 1)[:, None]
             score = mean @ out
             p = np.exp(score - score.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -115,14 +119,14 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 20
             back = (p @ out.T) / np.maximum(n, 1)[:, None] * speed
             out -= 0.05 * speed * mean.T @ p
             for d in range(DIMENSIONS):
-                deep[:, d] -= np.bincount(grams, weights=back[row, d], minlength=buckets)
+                deep[:, d] -= np.bincount(held_grams, weights=back[row, d], minlength=buckets)
             step += 1
     table = np.ascontiguousarray((deep @ out).T)
     table[:, -1] = 0
     model = Model(languages, table.astype(np.float32), 1.0, 0.0)
     rest = [(texts[i], target[i]) for i in order[cut:]] or [(texts[i], target[i]) for i in order]
     whole = [t for t, _ in rest]
-    short = passages(whole, 80)
+    short = passages(whole, 60)
     true = np.array([y for _, y in rest] + [rest[i][1] for i, _ in short])
     check = pa.array(whole + [t for _, t in short])
     trials = []
@@ -132,8 +136,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 20
         trials.append((-np.log(np.maximum(p[np.arange(len(true)), true], 1e-12))[count > 0].mean(), float(temperature)))
     model.temperature = min(trials)[1]
     p, count = model.probabilities(check)
-    right = p[np.arange(len(true)), true][count > 0]
-    model.threshold = float(min(np.quantile(right, false_reject), 0.5)) if len(right) else 1.0
+    right = p.max(axis=1)[(count > 0) & (p.argmax(axis=1) == true)]
+    model.threshold = float(min(np.quantile(right, false_reject), SURE)) if len(right) else SURE
     return model
 
 
@@ -156,7 +160,7 @@ def labelled_sample(docs: DataFrame, per_language: int, max_train_chars: int, ma
     return texts, labels
 
 
-def identify(docs: DataFrame, per_language: int = 400, max_train_chars: int = 20_000, max_languages: int = 64, false_reject: float = 0.0005) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20_000, max_languages: int = 64, false_reject: float = 0.0005) -> DataFrame:
     """(doc_id, language, confidence, accepted) of every row; language is null where rejected."""
     spark = docs.sparkSession
     texts, labels = labelled_sample(docs, per_language, max_train_chars, max_languages)

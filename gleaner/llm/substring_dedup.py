@@ -313,9 +313,12 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def drop_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with repeated passages cut from the texts; no row goes."""
-    joined, spans, text = _plan(docs, window)
-    chars = next((f.name for f in docs.schema if f.name.lower() == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType))), None)
-    return joined.mapInArrow(_cutter(docs.columns, text, chars, spans, False), docs.schema)
+    # mapInArrow resolves columns by name and can't bear dots in them, so the others get plain names on the way
+    plain = [c.lower() if c.lower() in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)]
+    joined, spans, text = _plan(docs.toDF(*plain), window)
+    chars = next((c for c, f in zip(plain, docs.schema, strict=True) if c == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType))), None)
+    fields = [T.StructField(c, f.dataType, f.nullable or c in ("text", "n_chars")) for c, f in zip(plain, docs.schema, strict=True)]
+    return joined.mapInArrow(_cutter(plain, text, chars, spans, False), T.StructType(fields)).toDF(*docs.columns)
 
 
 ORACLE = """

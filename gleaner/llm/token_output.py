@@ -6,8 +6,8 @@ columns have dictionaries. Row groups hold about ``row_group_bytes``, pages ``pa
 adds column and offset indexes, and rows are sorted by doc_id in each file, so that a reader of some documents skips the other row groups
 and pages, and a reader of metadata touches no token. Spark's commit protocol makes files whole or absent if executors are lost.
 
-Texts fall into units (white space before a word, and the word) that the pre-tokenizer's pattern never joins; a cache of units makes
-tokenization mostly look-ups. It is emptied when full, which does not change results.
+Texts fall into units (white space before a word, and the word) that the pre-tokenizer's pattern never joins; caches of units make
+tokenization mostly look-ups. They are emptied when full, which does not change results.
 
 Defined cases: null text has null token_ids and n_tokens; empty text has none and 0. A null doc_id stays. Repeated rows are written each.
 Empty tables give empty results. Metadata columns that are missing are written as null.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,53 +29,69 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNIT = re.compile(r"\s+(?!\S)| ?\S+|\s")
 _ODD = re.compile("[\x1c-\x1f\x85]")  # white space to only one of the two regex engines
+_RAGGED = re.compile(r"[^\S \n]|\s\s")  # other than single spaces and line ends between words
 WRITTEN = "doc_id bigint, lang string, source string, n_tokens int, token_ids array<int>"
 
 
 class Units(dict):
-    """Token ids by unit, computed when first met."""
+    """Token ids by unit, as bytes of 32-bit integers, computed when first met. Units have ``before`` put before them."""
 
-    def __init__(self, vocabulary: str, most: int = 400_000) -> None:
-        import tiktoken
-
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
+    def __init__(self, encoding, before: str, most: int = 400_000) -> None:
+        self.encoding, self.before, self.most = encoding, before, most
 
-    def __missing__(self, unit: str) -> list[int]:
-        found = self.encoding.encode_ordinary(unit)
+    def __missing__(self, unit: str) -> bytes:
+        found = np.array(self.encoding.encode_ordinary(self.before + unit), dtype="<i4").tobytes()
         if len(unit) < 64:
+            if len(self) >= self.most:
+                self.clear()
             self[unit] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+
+class Coder:
+    """A byte-level BPE encoding and its caches."""
+
+    def __init__(self, vocabulary: str) -> None:
+        import tiktoken
+
+        with open(vocabulary, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain, self.spaced = Units(self.encoding, ""), Units(self.encoding, " ")
+
+    def encode(self, text: str) -> bytes:
+        """The text's token ids, as bytes of 32-bit integers."""
+        if _RAGGED.search(text) is None:
+            lines = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                first = self.plain[words[0]]
+                lines.append(first + b"".join(map(self.spaced.__getitem__, words[1:])) if len(words) > 1 else first)
+            return self.plain["\n"].join(lines)
         if _ODD.search(text):
-            return self.encoding.encode_ordinary(text)
-        if len(self) > self.most:
-            self.clear()
-        return list(chain.from_iterable(map(self.__getitem__, _UNIT.findall(text))))
+            return np.array(self.encoding.encode_ordinary(text), dtype="<i4").tobytes()
+        return b"".join(map(self.plain.__getitem__, _UNIT.findall(text)))
 
 
-_units: dict[str, Units] = {}
+_coders: dict[str, Coder] = {}
 
 
-def units(vocabulary: str) -> Units:
-    """One cache for each Python worker."""
-    if vocabulary not in _units:
-        _units[vocabulary] = Units(vocabulary)
-    return _units[vocabulary]
+def coder_of(vocabulary: str) -> Coder:
+    """One coder for each vocabulary and Python worker."""
+    if vocabulary not in _coders:
+        _coders[vocabulary] = Coder(vocabulary)
+    return _coders[vocabulary]
 
 
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, lang, source, n_tokens, token_ids) of every row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = units(vocabulary)
-        ids = [None if t is None else np.array(coder.encode(t), dtype=np.int32) for t in batch.column("text").to_pylist()]
-        size = np.array([0 if x is None else len(x) for x in ids], dtype=np.int64)
+        coder = coder_of(vocabulary)
+        ids = [None if t is None else coder.encode(t) for t in batch.column("text").to_pylist()]
+        size = np.array([0 if x is None else len(x) // 4 for x in ids], dtype=np.int64)
         missing = np.array([x is None for x in ids], dtype=bool)
-        flat = np.concatenate([x for x in ids if x is not None]) if not missing.all() else np.zeros(0, np.int32)
+        flat = np.frombuffer(b"".join(x for x in ids if x is not None), dtype="<i4")
         offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), mask=np.r_[missing, False])
         lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array(size.astype(np.int32), mask=missing), lists], names=["doc_id", "lang", "source", "n_tokens", "token_ids"])
