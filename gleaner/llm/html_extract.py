@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm._spark import checkpointed, mapped, pick, shuffle_partitions
-from gleaner.llm._text import hash_spans
+from gleaner.llm._text import hash_spans, text_bytes
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*+)(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[!?/a-zA-Z][^>]*+)>")
@@ -112,16 +112,13 @@ def runs_of(kept: list[int]) -> list[dict]:
     return out
 
 
-def _hashes(lines: list[str]) -> list[int]:
-    raw = [x.encode() for x in lines]
-    ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
-    return hash_spans(np.frombuffer(b"".join(raw), dtype=np.uint8), np.r_[0, ends[:-1]], ends).view(np.int64).tolist() if raw else []
-
-
 def _light(batch: pa.RecordBatch) -> pa.RecordBatch:
     where = [host_path(u) for u in batch.column("url").to_pylist()]
-    hashes = [_hashes(text_lines(h)) for h in batch.column("html").to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["rid", "host", "path", "hashes"])
+    lines = [text_lines(h) for h in batch.column("html").to_pylist()]
+    raw, offsets = text_bytes(pa.array([x for page in lines for x in page], pa.large_string()))
+    hashes = hash_spans(raw, offsets[:-1], offsets[1:]).view(np.int64)
+    bounds = np.r_[0, np.cumsum([len(page) for page in lines], dtype=np.int64)].astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes))], names=["rid", "host", "path", "hashes"])
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
