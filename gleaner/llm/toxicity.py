@@ -50,15 +50,31 @@ class Model:
         return self.bias + segment_sums(self.weight[bucket], bounds)
 
 
+def sparse(texts: list[str], at_once: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """As words_held, a few texts at a time, so that only the result takes memory."""
+    bounds, buckets = [np.zeros(1, np.int64)], []
+    for i in range(0, len(texts), at_once):
+        b, k = words_held(pa.array(texts[i : i + at_once], pa.string()))
+        bounds.append(b[1:] + bounds[-1][-1])
+        buckets.append(k.astype(np.int32))
+    return np.concatenate(bounds), np.concatenate(buckets)
+
+
 def telling(toxic: np.ndarray, others: np.ndarray, n_toxic: int, n_others: int, least: float) -> np.ndarray:
-    """Buckets that are more frequent in toxic texts than in others, by a likelihood ratio (G squared) of ``least`` or more."""
-    total = 0.0
-    share = (toxic + others) / (n_toxic + n_others)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for seen, n in ((toxic, n_toxic), (others, n_others)):
-            for k, q in ((seen, share), (n - seen, 1 - share)):
-                total = total + np.where(k > 0, 2 * k * np.log(np.where(k > 0, k, 1) / (n * np.where(q > 0, q, 1))), 0)
-    return np.flatnonzero((total >= least) & (toxic * n_others > others * n_toxic))
+    """Buckets that are more frequent in toxic texts than in others, by a likelihood ratio (G squared) of ``least`` or more.
+
+    ``toxic`` and ``others`` list the buckets of all texts of a kind, once for each text that holds them.
+    """
+    seen, count = np.unique(toxic, return_counts=True)
+    count = count.astype(np.float64)
+    rest = np.bincount(others, minlength=1 << BITS)[seen].astype(np.float64)
+    share = (count + rest) / (n_toxic + n_others)
+    total = np.zeros(len(seen))
+    for held, n in ((count, n_toxic), (rest, n_others)):
+        for k, q in ((held, share), (n - held, 1 - share)):
+            some = k > 0
+            total[some] += 2 * k[some] * np.log(k[some] / (n * q[some]))
+    return seen[(total >= least) & (count * n_others > rest * n_toxic)]
 
 
 def train(toxic: list[str], unlabelled: list[str], prior: float, least: float = 30.0, epochs: int = 120, size: int = 8192, rate: float = 0.02, held: float = 0.25, seed: int = 9) -> Model:
@@ -67,18 +83,21 @@ def train(toxic: list[str], unlabelled: list[str], prior: float, least: float =
     Of all thresholds the one counts for which recall squared, by share of unlabelled texts above it, is greatest; that is
     proportional to recall times precision, neither of which clean labels are needed for.
     """
-    bounds, bucket = words_held(pa.array(toxic + unlabelled, pa.string()))
+    bounds, bucket = sparse(toxic + unlabelled)
     rng = np.random.default_rng(seed)
     p, u = rng.permutation(len(toxic)), rng.permutation(len(unlabelled)) + len(toxic)
     p, p_held = np.split(p, [max(1, int(len(p) * (1 - held)))])
     u, u_held = np.split(u, [max(1, int(len(u) * (1 - held)))])
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    rows = [np.bincount(bucket[np.isin(owner, some)], minlength=1 << BITS) for some in (p, u)]
-    used = telling(*rows, len(p), len(u), least)
-    place = np.full(1 << BITS, -1)
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    fit = np.zeros(len(bounds) - 1, dtype=bool)
+    fit[p], fit[u] = True, True
+    first_kind = owner < len(toxic)
+    used = telling(*(bucket[fit[owner] & kind] for kind in (first_kind, ~first_kind)), len(p), len(u), least)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     tells = place[bucket] >= 0
     own, edges = place[bucket[tells]], np.searchsorted(owner[tells], np.arange(len(bounds)))
+    del bucket, owner, first_kind, tells
     w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     first, second, step = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -112,7 +131,7 @@ def train(toxic: list[str], unlabelled: list[str], prior: float, least: float =
     weight = np.zeros(1 << BITS, dtype=np.float32)
     weight[used] = w
     model = Model(weight, float(bias))
-    scores = model.scores(bounds, bucket)
+    scores = model.bias + segment_sums(w[own], edges)
     some_p, some_u = (scores[h if len(h) else t] for h, t in ((p_held, p), (u_held, u)))
     level = np.unique(some_p)
     recall = (some_p[None, :] >= level[:, None]).mean(axis=1)
@@ -133,9 +152,10 @@ def sampled(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int,
     rows = docs.select(*pick(docs, "doc_id", "text")).filter(f"length(text) between 1 and {max_train_chars}")
     total = docs.count()
     key = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 2)
-    limit = int(min(1.0, (2 * unlabelled + 40) / max(total, 1)) * 2**62)
+    limit = int(min(1.0, (1.1 * unlabelled + 200) / max(total, 1)) * 2**62)
     # the broadcast side has ``positives`` rows of two numbers at most
     both = rows.withColumn("key", key).join(F.broadcast(some), F.col("doc_id") == F.col("ident"), "left").filter((F.col("toxic") == 1) | (F.col("key") <= limit))
+    # of the unlabelled, the hash admits a few more than wanted, and the least are kept
     found = sorted(both.select("key", F.coalesce("toxic", F.lit(0)).alias("toxic"), "text").collect(), key=lambda r: (r.key, r.text))
     return [r.text for r in found if r.toxic], [r.text for r in found if r.key <= limit][:unlabelled], float(share or 0.0)
 
