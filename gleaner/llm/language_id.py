@@ -67,22 +67,30 @@ class Model:
     temperature: float
     threshold: float
 
-    def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each text by language, and its n-grams."""
         ids, offsets, count = subwords(column)
         total = np.zeros((len(self.languages), len(offsets) - 1))
         for k, row in enumerate(self.table):
             for bucket in ids:
                 total[k] += segment_sums(row[bucket], offsets)
-        score = (total / np.maximum(count, 1)).T / self.temperature
-        score = np.exp(score - score.max(axis=1, keepdims=True)) if len(self.languages) else score
-        return score / score.sum(axis=1, keepdims=True), count
+        return (total / np.maximum(count, 1)).T, count
+
+    def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        score, count = self.scores(column)
+        return softmax(score / self.temperature), count
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    e = np.exp(score - score.max(axis=1, keepdims=True)) if score.size else score
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def passages(texts: list[str], size: int) -> list[tuple[int, str]]:
     return [(i, t[a : a + size]) for i, t in enumerate(texts) for a in range(0, max(1, len(t)), size)]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 2, rate: float = 20.0, batch: int = 64, held: float = 0.25, false_reject: float = 0.0005, seed: int = 3) -> Model:
+def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int = 400, rate: float = 20.0, batch: int = 64, held: float = 0.25, false_reject: float = 0.0005, seed: int = 3) -> Model:
     """The model of labelled texts; the last ``held`` part of them, in random order, calibrates it."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
@@ -93,13 +101,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, rate: float = 20
     deep = np.zeros((buckets, DIMENSIONS), dtype=np.float32)
     out = rng.normal(0, 1 / np.sqrt(DIMENSIONS), (DIMENSIONS, len(languages))).astype(np.float32)
     own = [texts[i] for i in order[:cut]]
-    parts = [p for size in (60, 300) for p in passages(own, size)]
+    parts = [(i, t) for k, text in enumerate(own) for i, t in ((k, t) for _, t in passages([text], 60 if k % 4 == 0 else 300))]
     ids, offsets, _ = subwords(pa.array([t for _, t in parts]))
-    grams, owner = np.concatenate(ids), np.tile(np.repeat(np.arange(len(parts)), np.diff(offsets)), len(ids))
-    order_ = np.argsort(owner[grams != buckets - 1], kind="stable")
-    grams, owner = grams[grams != buckets - 1][order_], owner[grams != buckets - 1][order_]
-    edges = np.searchsorted(owner, np.arange(len(parts) + 1))
+    grams = np.stack(ids, axis=1).ravel().astype(np.uint16)  # by position, so each passage's are together
+    del ids
+    real = grams != buckets - 1
+    edges = np.r_[0, np.cumsum(segment_sums(real.astype(np.int32), offsets * len(ORDERS)))]
+    grams = grams[real]
+    del real
     goal = target[order[:cut]][[i for i, _ in parts]]
+    epochs = max(epochs, -(-least_steps * batch // len(parts)))
     steps = epochs * -(-len(parts) // batch)
     step = 0
     for _ in range(epochs):
@@ -129,14 +140,15 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, rate: float = 20
     short = passages(whole, 60)
     true = np.array([y for _, y in rest] + [rest[i][1] for i, _ in short])
     check = pa.array(whole + [t for _, t in short])
+    score, count = model.scores(check)
+    score, true, count = score[count > 0], true[count > 0], count[count > 0]
     trials = []
     for temperature in np.geomspace(0.05, 20, 25):
-        model.temperature = float(temperature)
-        p, count = model.probabilities(check)
-        trials.append((-np.log(np.maximum(p[np.arange(len(true)), true], 1e-12))[count > 0].mean(), float(temperature)))
+        p = softmax(score / temperature)
+        trials.append((-np.log(np.maximum(p[np.arange(len(true)), true], 1e-12)).mean() if len(true) else 0.0, float(temperature)))
     model.temperature = min(trials)[1]
-    p, count = model.probabilities(check)
-    right = p.max(axis=1)[(count > 0) & (p.argmax(axis=1) == true)]
+    p = softmax(score / model.temperature)
+    right = p.max(axis=1)[p.argmax(axis=1) == true]
     model.threshold = float(min(np.quantile(right, false_reject), SURE)) if len(right) else SURE
     return model
 
