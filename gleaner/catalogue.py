@@ -298,8 +298,8 @@ def _rankings(docs: DataFrame) -> list[DataFrame]:
 def _rrf_sql(weights: list[float]) -> str:
     orders = ["n_chars DESC, doc_id", "doc_id", "doc_id DESC"]
     lists = " UNION ALL ".join(f"(SELECT query_id, url, {i} AS l, {w}::DOUBLE AS w, r FROM (SELECT doc_id % 3 AS query_id, 'u' || doc_id AS url, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY {o}) AS r FROM documents) WHERE r <= 40)" for i, (o, w) in enumerate(zip(orders, weights, strict=False)))
-    return f"""WITH u AS ({lists}), s AS (SELECT query_id, url, sum(w / (60 + r)) AS s, min(l * 1000 + r) AS at FROM u GROUP BY ALL)
-SELECT query_id, url, round(s, 4) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, at) - 1 AS pos FROM s"""
+    return f"""WITH u AS ({lists}), s AS (SELECT query_id, url, sum(w / (60 + r)) AS s, min(l * 1000 + r) AS spot FROM u GROUP BY ALL)
+SELECT query_id, url, round(s, 4) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, spot) - 1 AS pos FROM s"""
 
 
 @query(_rrf_sql([1.0, 1.0, 1.0]))
@@ -315,10 +315,10 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT doc_id % 6 AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 6 ORDER BY doc_id) AS p, {_words("lower(text)")} AS t FROM documents QUALIFY p <= 3),
-w AS (SELECT query_id, p, len(t) AS l, unnest(t) AS term, generate_subscripts(t, 1) AS at FROM d), tf AS (SELECT query_id, p, l, term, count(*) AS tf, min(at) AS at FROM w GROUP BY ALL),
-c AS (SELECT query_id, term, count(*) AS df, sum(tf / l::DOUBLE) AS share, min(p * 1000000 + at) AS at FROM tf WHERE length(term) >= 4 AND term NOT IN ({', '.join(map(_literal, ranking.FEEDBACK_STOPS))}) AND term NOT IN ('ther', 'tion') GROUP BY ALL),
-n AS (SELECT query_id, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT query_id, term, share * ln(n / (df + 1)::DOUBLE + 1) AS s, at FROM c JOIN n USING (query_id))
-SELECT query_id, term, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, at) AS rank FROM s) WHERE rank <= 5
+w AS (SELECT query_id, p, len(t) AS l, unnest(t) AS term, generate_subscripts(t, 1) AS spot FROM d), tf AS (SELECT query_id, p, l, term, count(*) AS tf, min(spot) AS spot FROM w GROUP BY ALL),
+c AS (SELECT query_id, term, count(*) AS df, sum(tf / l::DOUBLE) AS share, min(p * 1000000 + spot) AS spot FROM tf WHERE length(term) >= 4 AND term NOT IN ({', '.join(map(_literal, ranking.FEEDBACK_STOPS))}) AND term NOT IN ('ther', 'tion') GROUP BY ALL),
+n AS (SELECT query_id, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT query_id, term, share * ln(n / (df + 1)::DOUBLE + 1) AS s, spot FROM c JOIN n USING (query_id))
+SELECT query_id, term, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, spot) AS rank FROM s) WHERE rank <= 5
 """)
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 6).alias("query_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
@@ -475,8 +475,10 @@ ATTEMPTS = [(s, float(t), ok) for s, log in (("a", [(0, 1), (1, 0), (2, 0), (3,
 
 
 @query(f"""
-WITH a AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY service ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r, max(CASE WHEN NOT ok THEN at END) OVER (PARTITION BY service ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM {_values(ATTEMPTS, "service, at, ok")})
-SELECT service, at, ok, coalesce(count(*) FILTER (NOT ok) OVER (PARTITION BY service, r ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 5 AND at - l <= 60, FALSE) AS open FROM a
+WITH v AS (SELECT service, seconds, ok FROM {_values(ATTEMPTS, "service, seconds, ok")}),
+a AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY service ORDER BY seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r, max(CASE WHEN NOT ok THEN seconds END) OVER (PARTITION BY service ORDER BY seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM v),
+f AS (SELECT *, coalesce(sum((NOT ok)::INT) OVER (PARTITION BY service, r ORDER BY seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM a)
+SELECT service, seconds AS "at", ok, coalesce(n >= 5 AND seconds - l <= 60, FALSE) AS open FROM f
 """)
 def breaker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resilience.breaker_states(spark.createDataFrame(ATTEMPTS, "service string, at double, ok boolean"))

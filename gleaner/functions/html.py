@@ -128,11 +128,19 @@ def _markdown(node: Node | str, inside_pre: bool = False) -> str:
     return f"\n\n{inner}\n\n" if tag in ("p", "div", "section", "article", "blockquote", "main") else inner
 
 
+def _tidy(text: str) -> str:
+    """Lines without white space at their ends, but in code, and no more than one empty line in a row."""
+    out, code = [], False
+    for line in text.split("\n"):
+        fence = line.strip().startswith("```")
+        out.append(line if code and not fence else line.strip())
+        code ^= fence
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+
+
 def html_to_markdown(html: str | None) -> str:
     """Headings, emphasis, links, code, lists and tables as Markdown; navigation and the like go."""
-    text = _markdown(parse(html or ""))
-    text = "\n".join(line.rstrip() if line.startswith("|") else line.strip() if "```" not in line else line for line in text.split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    return _tidy(_markdown(parse(html or "")))
 
 
 def _blocks(node: Node) -> str:
@@ -156,8 +164,7 @@ def extract(html: str | None) -> tuple[str, str, str]:
         text = "\n".join(line for x in _blocks(part).split("\n") if (line := " ".join(x.split())))
         if len(text) >= 100 or part is root:
             break
-    whole = re.sub(r"\n{3,}", "\n\n", "\n".join(line.strip() for line in _markdown(part).split("\n"))).strip()
-    return title, text, whole
+    return title, text, _tidy(_markdown(part))
 
 
 def hrefs(html: str | None) -> list[str]:

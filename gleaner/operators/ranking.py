@@ -124,7 +124,7 @@ def density(corpus: DataFrame) -> DataFrame:
     """(doc_id, info_density), to 4 places, by counting terms: for corpora whose documents may be long."""
     split = corpus.select("doc_id", T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
     counted = split.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("w")).groupBy("doc_id", "n", "w").agg(F.count("*").alias("c"))
-    entropy = counted.groupBy("doc_id", "n").agg(-F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n"))).alias("h"))
+    entropy = counted.groupBy("doc_id", "n").agg((-F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n")))).alias("h"))
     value = F.when(F.col("n") < 2, 0.0).otherwise(F.col("h") / F.log2("n"))
     return corpus.select("doc_id").join(entropy, "doc_id", "left").select("doc_id", F.round(F.coalesce(value, F.lit(0.0)), 4).alias("info_density"))
 
