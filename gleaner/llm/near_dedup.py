@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups, found with an LSH forest and verified by Hamming distance.
 
-Every document gets a 256-bit SimHash of its words (lower case, ASCII punctuation removed; words of up to four bytes weigh a
-tenth, as they carry little). Copies that agree in all bits are joined first, by a plain group-by, so that thousands of exact
+Every document gets a 256-bit SimHash of its words and its pairs of neighbouring words (lower case, ASCII punctuation removed; words of
+up to four bytes weigh a tenth, as they carry little). Copies that agree in all bits are joined first, by a plain group-by, so that thousands of exact
 copies cost one row. The other signatures go through several tries, each over its own random permutation of the bits. A node
 with few signatures is compared whole, at the shortest prefix where it is that small; a dense one is split by further bits,
 but never deeper than the prefix at which the tries together reach the target recall at the design distance. Depth and number
@@ -30,7 +30,7 @@ from gleaner.llm.components import connected_components
 
 BITS = 256
 LIGHT_BYTES, LIGHT_WEIGHT = 4, 0.1
-_BYTE_BITS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1).astype(np.float32)
+_BYTE_BITS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1)
 _COUNT = np.array([bin(i).count("1") for i in range(65536)], dtype=np.uint8)
 _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
 _MEMBER = "a bigint, b bigint"
@@ -45,11 +45,13 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = hash_spans(raw, starts, ends)
     weight = np.where(ends - starts > LIGHT_BYTES, 1.0, LIGHT_WEIGHT)
     row = np.repeat(np.arange(rows, dtype=np.int64) * 256, many)
+    inside = np.flatnonzero(row[1:] == row[:-1])
+    pairs = mix(words[inside] * np.uint64(3) + words[inside + 1])
     for k, seed in enumerate(_SEEDS):
-        code = mix(words + seed).view(np.uint8).reshape(-1, 8)
+        code, double = (mix(x + seed).view(np.uint8).reshape(-1, 8) for x in (words, pairs))
         for j in range(8):
-            held = np.bincount(row + code[:, j], weights=weight, minlength=rows * 256).reshape(rows, 256)
-            out[:, k] |= np.packbits(np.rint(held @ _BYTE_BITS.astype(np.float64) * 10) > 0, axis=1)[:, 0].astype(np.uint64) << np.uint64(8 * j)
+            held = np.bincount(row + code[:, j], weights=weight, minlength=rows * 256) + np.bincount(row[inside] + double[:, j], minlength=rows * 256)
+            out[:, k] |= np.packbits(np.rint(held.reshape(rows, 256) @ _BYTE_BITS * 10) > 0, axis=1)[:, 0].astype(np.uint64) << np.uint64(8 * j)
     return out, many > 0
 
 
@@ -71,8 +73,13 @@ def signature_table(docs: DataFrame) -> DataFrame:
 
 
 def forest_shape(rows: int, distance: int, recall: float, leaf: int) -> tuple[int, int]:
-    """Depth at which ``rows`` random signatures have about ``leaf`` in a node, and the tries that reach the recall there."""
-    depth = max(1, math.ceil(math.log2(max(2, rows / leaf))))
+    """Depth at which ``rows`` random signatures have about ``leaf`` in a node, and the tries that reach the recall there.
+
+    Rows that fit one node are compared whole, at the root of a single trie.
+    """
+    if rows <= leaf:
+        return 0, 1
+    depth = max(1, math.ceil(math.log2(rows / leaf)))
     met = (1 - distance / BITS) ** depth
     return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
@@ -171,7 +178,7 @@ def _forest(limit: int, leaf: int, depth: int, climb: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 64, design_distance: int = 40, recall: float = 0.95, leaf: int = 256, climb: int = 2, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = 56, design_distance: int = 44, recall: float = 0.95, leaf: int = 256, climb: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, keep_doc_id) of every document in a group of two or more, the kept one (equal ids) included.
 
     ``max_distance``: bits of 256 in which linked documents may differ. ``recall``: of pairs at ``design_distance``; closer
@@ -187,7 +194,7 @@ def near_duplicates(docs: DataFrame, max_distance: int = 64, design_distance: in
     distinct = marked.filter("id = rep").select("id", *names)
     rows = distinct.count()
     depth, tries = forest_shape(rows, design_distance, recall, leaf)
-    climb = min(climb, depth - 1)
+    climb = min(climb, max(depth - 1, 0))
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(BITS)[:depth] for _ in range(tries)]
 
