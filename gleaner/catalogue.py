@@ -447,6 +447,14 @@ def landed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("pos").cast("bigint").alias("pos"), "url", "title", "engine", "score")
 
 
+RESULT_PAGES = [(1, '<table><tr><td><a class="result-link big" href="https://a.example/1">One <b>hit</b></a><tr><td>About one</td></tr><tr><td><a class="result-link" href="/ad">ad</a></td></tr><tr><td>Bought</td></tr><tr><td><a class="result-link" href="https://b.example/">Two</a></td></tr></table>'), (2, None), (3, "<p>none")]
+
+
+@query(f"SELECT * FROM {_values([(1, 0, 'https://a.example/1', 'One hit', 'About one'), (1, 1, 'https://b.example/', 'Two', '')], 'query_id, pos, url, title, content')}")
+def landed_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.landed_result_pages(spark.createDataFrame(RESULT_PAGES, "query_id int, html string")).drop("engine", "score")
+
+
 @query("""
 WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages),
 l AS (SELECT page_id, url, i, regexp_extract(url, '^[a-z]+://[^/?#]*') || trim(replace(replace(h, '&amp;', '&'), '&#x27;', '''')) AS link FROM a WHERE trim(h) LIKE '/%'),

@@ -172,6 +172,24 @@ def hrefs(html: str | None) -> list[str]:
     return [h for a in find_all(parse(html or ""), "a") if (h := (a.attrs.get("href") or "").strip())]
 
 
+def result_links(html: str | None) -> list[tuple[str, str, str]]:
+    """(url, title, content) of a landed page of search results in table form: links of class ``result-link``, each with the text of the
+    table row behind its own. Links within the site (``/...``) are left out."""
+    rows = find_all(parse(html or ""), "tr")
+    out = []
+    for k, row in enumerate(rows):
+        for a in find_all(row, "a"):
+            href = (a.attrs.get("href") or "").strip()
+            if "result-link" in (a.attrs.get("class") or "").split() and href and not href.startswith("/"):
+                out.append((href, _inline(a), _inline(rows[k + 1]) if k + 1 < len(rows) else ""))
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("url", "title", "content")])))
+def results(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: [{"url": u, "title": t, "content": c} for u, t, c in result_links(h)])
+
+
 @F.pandas_udf(StringType())
 def markdown(html: pd.Series) -> pd.Series:
     return html.map(html_to_markdown)

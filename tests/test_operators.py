@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import compression, grounding, links, quality, ranking, resilience
 from gleaner.plans import tools
 from gleaner.plans.server import Server
+from gleaner.sources import tables
 
 
 def hits(spark, contents, query_id=1):
@@ -136,6 +137,19 @@ def test_cache_and_breaker():
     assert b.failures == 0
 
 
+def test_sources(spark):
+    import json
+
+    h = hits(spark, ["é one", None])
+    row = tables.as_json(h).first()
+    assert [x["pos"] for x in json.loads(row.json)] == [0, 1] and "é one" in row.json
+    b = resilience.CircuitBreaker(1)
+    assert tables.available(h, h.limit(1), b) is h
+    b.record_failure()
+    assert tables.available(h, h.limit(1), b).count() == 1
+    assert tables.synonyms_from_json(spark, "/nowhere/at/all.json") == {}
+
+
 def test_server(spark):
     corpus = spark.createDataFrame([(i, f"https://h{i % 4}.example/{i}", f"t{i}", f"Sparks fly over engine number {i}. Engines turn query plans into tasks.") for i in range(12)], "doc_id long, url string, title string, content string")
     pages = spark.createDataFrame([("https://s.org/", "<title>S</title><p>hello page</p><a href='/x'>x</a>")], "url string, html string")
