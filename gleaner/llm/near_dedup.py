@@ -4,9 +4,10 @@ Every document gets a 256-bit SimHash of its words and its pairs of neighbouring
 up to four bytes weigh a tenth, as they carry little). Copies that agree in all bits are joined first, by a plain group-by, so that thousands of exact
 copies cost one row. The other signatures go through several tries, each over its own random permutation of the bits. A node
 with few signatures is compared whole, at the shortest prefix where it is that small; a dense one is split by further bits,
-but never deeper than the prefix at which the tries together reach the target recall at the design distance. Depth and number
-of tries follow from the number of signatures (the depth grows with its logarithm), so that the work for a row stays level and
-the recall stays the same at every size. Leaves are compared exhaustively, large ones by pivots, which is exact for groups;
+but never deeper than the prefix at which the tries together reach the target recall at the greatest distance that links. Depth
+and number of tries follow from the number of signatures: the depth grows with its logarithm and the tries with a power of it
+(about 0.37), so that any pair that counts, also one at that distance in a group of two, is met with the target recall at every
+size. Leaves are compared exhaustively, large ones by pivots, which is exact for groups;
 every link is verified on all 256 bits. The links' connected components are the groups.
 
 Defined results: null text and texts without words have no signature and are in no group. Null doc_id: in no group. Rows that
@@ -75,12 +76,14 @@ def signature_table(docs: DataFrame) -> DataFrame:
 def forest_shape(rows: int, distance: int, recall: float, leaf: int) -> tuple[int, int]:
     """Depth at which ``rows`` random signatures have about ``leaf`` in a node, and the tries that reach the recall there.
 
+    A try meets a pair at ``distance`` if none of its bits, drawn without replacement, is one of those that differ.
+
     Rows that fit one node are compared whole, at the root of a single trie.
     """
     if rows <= leaf:
         return 0, 1
     depth = max(1, math.ceil(math.log2(rows / leaf)))
-    met = (1 - distance / BITS) ** depth
+    met = math.prod((BITS - distance - i) / (BITS - i) for i in range(depth))
     return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -89,7 +92,16 @@ def _links(sig: np.ndarray, ids: np.ndarray, node: np.ndarray, limit: int, leaf:
     first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
     size = np.diff(np.r_[first, len(node)])
     left, right = [], []
-    small = np.repeat(size <= leaf, size)
+    wide = (size <= leaf) & (size > 32)
+    for start, n in zip(first[wide], size[wide], strict=True):  # all pairs at once
+        block = np.ascontiguousarray(sig[start : start + n].T)
+        apart = np.zeros((n, n), dtype=np.uint16)
+        for word in block:
+            apart += np.bitwise_count(word[:, None] ^ word)
+        x, y = np.nonzero(apart <= limit)
+        left.append(start + x[x < y])
+        right.append(start + y[x < y])
+    small = np.repeat((size <= leaf) & ~wide, size)
     rest = np.repeat(first + size, size) - np.arange(len(node)) - 1
     at = np.flatnonzero(small & (rest > 0))
     step = 1
@@ -178,11 +190,11 @@ def _forest(limit: int, leaf: int, depth: int, climb: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 56, design_distance: int = 44, recall: float = 0.95, leaf: int = 256, climb: int = 2, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = 56, design_distance: int | None = None, recall: float = 0.95, leaf: int = 1024, climb: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, keep_doc_id) of every document in a group of two or more, the kept one (equal ids) included.
 
-    ``max_distance``: bits of 256 in which linked documents may differ. ``recall``: of pairs at ``design_distance``; closer
-    pairs have a higher one. ``leaf``: rows that a node may have to be compared whole. ``climb``: prefixes by which a row in
+    ``max_distance``: bits of 256 in which linked documents may differ. ``recall``: of pairs at ``design_distance``,
+    which is ``max_distance`` if not given; closer pairs have a higher one. ``leaf``: rows that a node may have to be compared whole. ``climb``: prefixes by which a row in
     a sparse region climbs above the deepest one.
     """
     spark = docs.sparkSession
@@ -193,7 +205,7 @@ def near_duplicates(docs: DataFrame, max_distance: int = 56, design_distance: in
     marked = written(sigs.select("id", *names, F.min("id").over(same).alias("rep")), "copies")
     distinct = marked.filter("id = rep").select("id", *names)
     rows = distinct.count()
-    depth, tries = forest_shape(rows, design_distance, recall, leaf)
+    depth, tries = forest_shape(rows, max_distance if design_distance is None else design_distance, recall, leaf)
     climb = min(climb, max(depth - 1, 0))
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(BITS)[:depth] for _ in range(tries)]

@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pyarrow as pa
 from cases import empty, prose, table
@@ -64,6 +66,39 @@ def test_recall_and_precision_against_all_pairs(spark):
     assert len(near_dedup.drop_near_duplicates(df, leaf=8).collect()) == len(docs) - sum(i != k for i, k in got.items())
 
 
+def pairs_apart(rng, distances):
+    """Signatures of isolated pairs, at one of the distances each: both of a pair are neighbours."""
+    sig = rng.integers(-(2**63), 2**63 - 1, (len(distances), 4), dtype=np.int64).view(np.uint64)
+    flips = np.zeros((len(distances), 256), dtype=np.uint8)
+    for row, d in zip(flips, distances, strict=True):
+        row[rng.permutation(256)[:d]] = 1
+    return np.stack([sig, sig ^ np.packbits(flips, axis=1).view(np.uint64)], axis=1).reshape(-1, 4)
+
+
+def test_tries_meet_the_farthest_pairs_at_any_size():
+    rng = np.random.default_rng(4)
+    default = {k: v.default for k, v in inspect.signature(near_dedup.near_duplicates).parameters.items()}
+    design = default["max_distance"] if default["design_distance"] is None else default["design_distance"]
+    for rows in (10_000, 1_000_000, 15_000_000):  # 30 GB have some 15 million documents
+        depth, tries = near_dedup.forest_shape(rows, design, default["recall"], default["leaf"])
+        orders = np.array([rng.permutation(256)[:depth] for _ in range(tries)])
+        for d in (45, 50, 53, 56):
+            differs = rng.permuted(np.tile(np.arange(256) < d, (1000, 1)), axis=1)
+            assert (~differs[:, orders].any(axis=2)).any(axis=1).mean() > 0.9
+
+
+def test_isolated_pairs_at_45_to_56_bits_are_linked(spark, monkeypatch):
+    distances = np.repeat(np.arange(45, 57), 150)
+    sig = pairs_apart(np.random.default_rng(6), distances)
+    assert near_dedup.hamming(sig[::2], sig[1::2]).tolist() == distances.tolist()
+    rows = [(i, *map(int, s)) for i, s in enumerate(sig.view(np.int64))]
+    monkeypatch.setattr(near_dedup, "signature_table", lambda docs: docs)
+    got = {r.doc_id: r.keep_doc_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "id long, s0 long, s1 long, s2 long, s3 long"), leaf=8).collect()}
+    linked = np.array([got.get(2 * k + 1) == 2 * k for k in range(len(distances))])
+    assert linked[distances >= 54].mean() > 0.9 and linked.mean() > 0.9
+    assert len(got) == 2 * linked.sum()
+
+
 def test_dense_leaves_are_exact():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (3, 4), dtype=np.int64).view(np.uint64)
