@@ -4,12 +4,19 @@ Texts are put in lower case; digits and ASCII punctuation count as white space.
 hashed into buckets. A text's embedding is the mean over its n-grams, and a linear softmax over it gives the languages'
 probabilities. Stochastic gradient descent in numpy trains embeddings and softmax on a sample of labelled rows, bounded by
 ``per_language`` rows of each language (the rows of least hash) of up to ``max_train_chars`` characters; they are cut into passages, so
-that short texts are met in training too. Held-out rows calibrate a temperature, and the least probability at which a prediction
-is accepted: ``SURE``, or the ``false_reject`` quantile of what rightly predicted held-out texts get, if that is less. As mean and softmax are
-linear in the embeddings, scoring adds one row of a buckets-by-languages table for each n-gram of the whole text.
+that short texts are met in training too. As mean and softmax are linear in the embeddings, scoring adds one row of a
+buckets-by-languages table for each n-gram of the whole text.
+
+Held-out rows calibrate a temperature and two bounds, and a prediction is accepted if it keeps both. One is on the probability, which
+tells the languages from each other: ``SURE``, or the ``false_reject`` quantile of what rightly predicted held-out texts get, if that is
+less. The other is on the fit, which tells them from everything else, for any number of languages: the mean logarithm of how often the
+text's n-grams occur in the training texts, with ``PRIOR`` usual n-grams added, so that short texts are judged mildly. It lies halfway between that
+quantile of rightly predicted texts' fits and the ``NEGATIVE`` quantile of those of held-out texts made foreign (their language left out,
+their letters shuffled, or replaced by those of scripts that training didn't meet), or at the former where the two overlap. The model holds the
+shares of held-out texts that are wrongly rejected and of foreign ones that are wrongly accepted.
 
 Defined cases: null, empty and letterless texts have no language: confidence 0, rejected. Rows without a label are scored but not
-trained on; without any labelled row everything is rejected. With a single language, texts with letters are accepted. Ties go to the
+trained on; without any labelled row everything is rejected. With a single language only the fit counts. Ties go to the
 language that sorts first. Repeated rows are scored alike. Empty tables give empty results. Extra columns play no part.
 """
 
@@ -31,6 +38,8 @@ _GAP = np.arange(256, dtype=np.uint8)
 _GAP[[b for b in range(128) if not chr(b).isalpha()]] = 32
 #: A text in two languages gets about a half for each, a foreign one little more than any language's share of one.
 SURE = 0.42
+PRIOR, NEGATIVE = 60, 0.99
+_SCRIPTS = (0x3B1, 0x430, 0x5D0, 0x628, 0x905, 0xE01, 0x10D0, 0x3042, 0x4E00, 0xAC00)
 SCORED = "doc_id bigint, language string, confidence double, accepted boolean"
 
 
@@ -66,26 +75,56 @@ class Model:
     table: np.ndarray  # languages x buckets
     temperature: float
     threshold: float
+    usual: np.ndarray | None = None  # logarithm of each bucket's share of the n-grams
+    usual_fit: float = 0.0
+    least_fit: float = -np.inf
+    false_reject: float = 0.0
+    false_accept: dict[str, float] | None = None  # by kind of foreign text
 
-    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each text by language, and its n-grams."""
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of each text by language, its fit, and its n-grams."""
         ids, offsets, count = subwords(column)
         total = np.zeros((len(self.languages), len(offsets) - 1))
         for k, row in enumerate(self.table):
             for bucket in ids:
                 total[k] += segment_sums(row[bucket], offsets)
-        return (total / np.maximum(count, 1)).T, count
+        fit = np.full(len(count), PRIOR * self.usual_fit)
+        if self.usual is not None:
+            for bucket in ids:
+                fit += segment_sums(self.usual[bucket], offsets)
+        return (total / np.maximum(count, 1)).T, fit / (count + PRIOR), count
 
     def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        score, count = self.scores(column)
+        score, _, count = self.scores(column)
         return softmax(score / self.temperature), count
 
+    def verdicts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language of each text, its probability, and whether it is accepted."""
+        score, fit, count = self.scores(column)
+        p = softmax(score / self.temperature)
+        sure = np.where(count > 0, p.max(axis=1), 0.0)
+        return p.argmax(axis=1), sure, (sure >= self.threshold) & (sure > 0) & (fit >= self.least_fit)
+
 
 def softmax(score: np.ndarray) -> np.ndarray:
     e = np.exp(score - score.max(axis=1, keepdims=True)) if score.size else score
     return e / e.sum(axis=1, keepdims=True)
 
 
+def foreign(texts: list[str], seen: set[str], rng: np.random.Generator) -> dict[str, list[str]]:
+    """The texts with their letters shuffled, and in letters of scripts of which none is ``seen``."""
+
+    def shuffled(text: str) -> str:
+        letters = np.array([c for c in text if c.isalpha()])
+        order = iter(letters[rng.permutation(len(letters))].tolist())
+        return "".join(next(order) if c.isalpha() else c for c in text)
+
+    scripts = [x for x in _SCRIPTS if not any(chr(x + i) in seen for i in range(26))]
+    other = [{c: chr(start + ord(c) % 26) for c in seen if c.isalpha()} for start in scripts]
+    moved = ["".join(other[i % len(other)].get(c, c) for c in t.lower()) for i, t in enumerate(texts)] if other else []
+    return {"shuffled": [shuffled(t.lower()) for t in texts], "scripts": moved}
+
+
 def passages(texts: list[str], size: int) -> list[tuple[int, str]]:
     return [(i, t[a : a + size]) for i, t in enumerate(texts) for a in range(0, max(1, len(t)), size)]
 
@@ -138,9 +177,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int
     rest = [(texts[i], target[i]) for i in order[cut:]] or [(texts[i], target[i]) for i in order]
     whole = [t for t, _ in rest]
     short = passages(whole, 60)
-    true = np.array([y for _, y in rest] + [rest[i][1] for i, _ in short])
+    true = every_true = np.array([y for _, y in rest] + [rest[i][1] for i, _ in short])
     check = pa.array(whole + [t for _, t in short])
-    score, count = model.scores(check)
+    score, _, count = model.scores(check)
     score, true, count = score[count > 0], true[count > 0], count[count > 0]
     trials = []
     for temperature in np.geomspace(0.05, 20, 25):
@@ -150,6 +189,43 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int
     p = softmax(score / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == true]
     model.threshold = float(min(np.quantile(right, false_reject), SURE)) if len(right) else SURE
+
+    def shares(k: int) -> np.ndarray:
+        """Of each bucket among the n-grams of a language, none of them 0."""
+        mine = np.flatnonzero(goal == k)
+        size = edges[mine + 1] - edges[mine]
+        many = np.bincount(grams[np.repeat(edges[mine] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())], minlength=buckets) + 0.5
+        return many / many.sum()
+
+    def logs(share: np.ndarray) -> np.ndarray:
+        out = np.log(share).astype(np.float32)
+        out[-1] = 0
+        return out
+
+    every = sum(shares(k) for k in range(len(languages)))
+    model.usual = logs(every / len(languages))
+    score, fit, count = model.scores(check)
+    lettered = np.flatnonzero(count)
+    if len(lettered):
+        model.usual_fit = float((fit * (count + PRIOR))[lettered].sum() / count[lettered].sum())
+    fit += model.usual_fit * PRIOR / (count + PRIOR)
+    fits = fit[(count > 0) & (score.argmax(axis=1) == every_true)]
+    some = rng.permutation(lettered)[:2000]
+    texts_of = check.take(pa.array(some)).to_pylist()
+    apart = {name: model.scores(pa.array(made))[1] for name, made in foreign(texts_of, set("".join(own).lower()), rng).items() if made}
+    if len(languages) > 1:
+        left = []
+        for k in np.unique(every_true[some]):
+            rest_model = Model(languages, table[:0], 1.0, 0.0, logs((every - shares(k)) / (len(languages) - 1)), model.usual_fit)
+            left.append(rest_model.scores(pa.array([t for t, y in zip(texts_of, every_true[some], strict=True) if y == k]))[1])
+        apart["left out"] = np.concatenate(left) if left else np.zeros(0)
+    if len(fits):
+        model.least_fit = float(np.quantile(fits, false_reject))
+        far = [np.quantile(x, NEGATIVE) for x in apart.values() if len(x)]
+        if far and max(far) < model.least_fit:
+            model.least_fit = float(model.least_fit + max(far)) / 2
+        model.false_reject = float((fits < model.least_fit).mean())
+    model.false_accept = {name: float((x >= model.least_fit).mean()) for name, x in apart.items() if len(x)}
     return model
 
 
@@ -181,12 +257,7 @@ def identify(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = sent.value
         n = batch.num_rows
-        best, sure = np.zeros(n, dtype=np.int64), np.zeros(n)
-        if model is not None:
-            p, count = model.probabilities(batch.column("text"))
-            best = p.argmax(axis=1)
-            sure = np.where(count > 0, p.max(axis=1), 0.0)
-        accepted = (sure >= model.threshold) & (sure > 0) if model is not None else np.zeros(n, dtype=bool)
+        best, sure, accepted = model.verdicts(batch.column("text")) if model is not None else (np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=bool))
         names = pa.array([model.languages[k] if ok else None for k, ok in zip(best, accepted, strict=True)] if model is not None else [None] * n, pa.string())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(sure), pa.array(accepted)], names=["doc_id", "language", "confidence", "accepted"])
 

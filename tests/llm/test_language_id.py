@@ -1,3 +1,6 @@
+import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as ds
 import pytest
 from cases import empty, table
 from conftest import DATA
@@ -60,6 +63,27 @@ def test_foreign_text_and_noise_are_rejected(spark):
     assert got[-2] is False and got[-1] is False
 
 
+def test_foreign_scripts_and_shuffled_letters_are_rejected_among_any_number_of_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    russian = (-3, "Это русский текст о погоде " * 20, None)
+    shuffled = (-4, language_id.foreign([docs.filter("length(text) > 500").first().text], set(), np.random.default_rng(1))["shuffled"][0], None)
+    for languages in (["en"], ["en", "de"], ["de", "en", "es", "fr"]):
+        own = docs.filter(docs.lang.isin(languages))
+        got = language_id.identify(own.union(spark.createDataFrame([russian, shuffled], docs.schema))).collect()
+        assert all(r.accepted is False and r.language is None for r in got if r.doc_id < 0), languages
+        assert sum(r.accepted for r in got if r.doc_id >= 0) > 0.98 * (len(got) - 2)
+
+
+def test_languages_left_out_of_training_are_rejected():
+    rows = [r for r in ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table(columns=["text", "lang"]).to_pylist() if r["text"] and r["lang"]]
+    for out in ("de", "fr"):
+        known, other = [r for r in rows if r["lang"] != out], [r["text"] for r in rows if r["lang"] == out and len(r["text"]) > 200]
+        model = language_id.train([r["text"] for r in known[::2]], [r["lang"] for r in known[::2]])
+        assert model.verdicts(pa.array(other))[2].mean() < 0.1
+        assert model.verdicts(pa.array([r["text"] for r in known[1::2]]))[2].mean() > 0.98
+        assert model.false_reject < 0.01 and set(model.false_accept) == {"shuffled", "scripts", "left out"} and max(model.false_accept.values()) < 0.2
+
+
 def test_odd_rows(spark):
     docs = table(spark)
     got = {r.doc_id: r for r in language_id.identify(docs).collect()}
