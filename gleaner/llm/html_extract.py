@@ -1,15 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages become lines of text: comments, head, scripts and styles go, block tags end lines, character references are resolved, white
-space is collapsed. Within each host, pages are sorted by URL path; the nearest page is the neighbour in that order that shares the
-longer prefix of the path (any page's longest shared prefix is with a neighbour; of equals, the one before). Lines of both pages are aligned by
+space is collapsed. Within each host, pages are sorted by URL path; the nearest page is, of the next ones before and behind in that
+order that have lines and other lines than the page itself, the one that shares the longer prefix of the path (the longest shared prefix with
+any such page is with one of these two; of equals, the one before). Lines of both pages are aligned by
 longest common subsequence, and the shared lines, which belong to the site and not to the page, are deleted.
 
 Only line hashes take part in the pairing: they are sorted globally by range, so that a host of any size is spread over the cluster, and
-each partition gets the rows at its neighbours' edges. The texts are shuffled once, to meet the lines that they keep.
+each partition gets the rows at its neighbours' edges: the outermost two of each end that have lines and differ. The texts are shuffled once, to meet the lines that they keep.
 
 Defined cases: null and empty html give an empty text. A null url, or one without a host, has the host ''. A page alone on its host keeps all
-lines. A neighbour with the very same lines tells nothing, and the other one counts then; if both are such, all lines stay. Equal rows
+lines. Pages without lines and pages with the very same lines tell nothing and are passed over, however many there are in a row; a page keeps all
+its lines only if its host has no other page that differs. Equal rows
 count as one page and get equal results. Empty tables give empty results; other columns play no part.
 """
 
@@ -17,7 +19,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,21 +129,44 @@ def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("page_id"), batch.column("url"), pa.array(lines, pa.list_(pa.string()))], names=["rid", "page_id", "url", "lines"])
 
 
+class _Side:
+    """The rows next to a place in the sorted order on one side: the nearest of its host with lines, and the nearest with others than that one's."""
+
+    def __init__(self, rows: Iterable[tuple] = ()) -> None:
+        self.rows: list[tuple] = []
+        for row in rows:
+            self.add(row)
+
+    def add(self, row: tuple) -> None:
+        """A (host, path, hashes) row that is nearer than those before it."""
+        if not row[2]:
+            return
+        rest = [x for x in self.rows if x[0] == row[0]]
+        # of rows with the same lines the nearer one counts; the other kept row is the nearest that differs
+        self.rows = [row, *([x for x in rest if x[2] != row[2]][:1])]
+
+    def other(self, here: tuple) -> tuple | None:
+        return next((x for x in self.rows if x[0] == here[0] and x[2] != here[2]), None)
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last row of the partition, with its number."""
-    first = last = None
+    """For each end of the partition, with its number, the rows that a page beyond it may be compared with, farthest first."""
+    head: list[tuple] = []  # the first row with lines, and the first of its host that differs
+    tail = _Side()
     for batch in batches:
-        if batch.num_rows:
-            first = first or batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1)
-    if first is not None:
-        for end, row in enumerate((first, last)):
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([end], pa.int32()), *row.columns[1:]], names=["part", "end", "host", "path", "hashes"])
+        for row in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            tail.add(row)
+            if row[2] and (not head or len(head) == 1 and row[0] == head[0][0] and row[2] != head[0][2]):
+                head.append(row)
+    rows = [(0, *r) for r in reversed(head)] + [(1, *r) for r in reversed(tail.rows)]
+    if rows:
+        end, host, path, hashes = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32()), pa.array(end, pa.int32()), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["part", "end", "host", "path", "hashes"])
 
 
 def nearest(here: tuple, before: tuple | None, behind: tuple | None) -> tuple | None:
-    """Of (host, path, hashes) rows, the neighbour that a page is compared with."""
-    fit = [(shared_prefix(here[1], x[1]), x) for x in (before, behind) if x is not None and x[0] == here[0] and x[2] != here[2]]
+    """Of (host, path, hashes) rows, the next that differ on each side, the one that a page is compared with."""
+    fit = [(shared_prefix(here[1], x[1]), x) for x in (before, behind) if x is not None]
     return max(fit, key=lambda f: f[0])[1] if fit else None
 
 
@@ -152,16 +178,25 @@ def extract(pages: DataFrame) -> DataFrame:
     light = mapped(base.select("rid", "url", "html"), "html", _light, "rid bigint, host string, path string, hashes array<bigint>").dropDuplicates(["rid"])
     key = ["host", "path", "rid"]
     sorted_ = checkpointed(light.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key))
-    ends: dict[tuple[int, int], tuple] = {}
-    for r in sorted_.mapInArrow(_edges, "part int, end int, host string, path string, hashes array<bigint>").collect():  # two rows a partition
-        ends[r.part, r.end] = (r.host, r.path, list(r.hashes))
+    ends: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+    for r in sorted_.mapInArrow(_edges, "part int, end int, host string, path string, hashes array<bigint>").collect():  # four rows a partition at most
+        ends[r.part, r.end].append((r.host, r.path, list(r.hashes)))
     full = sorted({p for p, _ in ends})
-    around = {p: (ends[full[i - 1], 1] if i else None, ends[full[i + 1], 0] if i + 1 < len(full) else None) for i, p in enumerate(full)}
-    sent = spark.sparkContext.broadcast(around)
+    before, behind = _Side(), _Side()
+    lower, upper = {}, {}  # by partition with lines, what lies before its first row and behind its last
+    for p in full:
+        lower[p] = before.rows
+        before = _Side([*before.rows[::-1], *ends[p, 1]])
+    for p in reversed(full):
+        upper[p] = behind.rows
+        behind = _Side([*behind.rows[::-1], *ends[p, 0]])
+    sent = spark.sparkContext.broadcast((lower, upper))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = sent.value.get(TaskContext.get().partitionId(), (None, None))
-        waiting: tuple | None = None  # a row, and the one before it, until the next is known
+        part = TaskContext.get().partitionId()
+        before = _Side(sent.value[0].get(part, [])[::-1])
+        after = sent.value[1].get(part, [])
+        held: list[tuple[tuple, tuple | None]] = []  # rows with the same lines, or none, and what lies before each, until a row behind differs
 
         def solve(row: tuple, before: tuple | None, behind: tuple | None) -> tuple:
             other = nearest(row[1:], before, behind)
@@ -176,14 +211,21 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if waiting is not None:
-                    out.append(solve(waiting, before, row[1:]))
-                    before = waiting[1:]
-                waiting = row
+                if held and (row[1] != held[0][0][1] or row[3] and row[3] != held[0][0][3]):
+                    behind = row[1:] if row[1] == held[0][0][1] else None
+                    out += [solve(x, y, behind) for x, y in held]
+                    held = []
+                if row[3]:
+                    row = (*row[:3], held[0][0][3] if held else row[3])  # one copy of the lines for all of them
+                    held.append((row, before.other(row[1:])))
+                    before.add(row[1:])
+                else:
+                    out.append(solve(row, None, None))
             if out:
                 yield batch_of(out)
-        if waiting is not None:
-            yield batch_of([solve(waiting, before, after)])
+        if held:
+            behind = _Side(after[::-1]).other(held[0][0][1:])
+            yield batch_of([solve(x, y, behind) for x, y in held])
 
     kept = sorted_.mapInArrow(pair, "rid bigint, runs array<struct<start:int,length:int>>, n_kept int")
     lines = mapped(base, "html", _lines, "rid bigint, page_id bigint, url string, lines array<string>") if dict(base.dtypes)["page_id"] == "bigint" else mapped(base.withColumn("page_id", F.col("page_id").cast("bigint")), "html", _lines, "rid bigint, page_id bigint, url string, lines array<string>")

@@ -56,6 +56,33 @@ def test_extraction_against_brute_force_for_any_partitioning(spark):
         assert len(got) == 150 and all(r.text == "\n".join(want[pages[r.page_id][1:]]) and r.n_deleted == r.n_lines - len(want[pages[r.page_id][1:]]) for r in got)
 
 
+def test_runs_of_the_same_lines_and_pages_without_lines_are_passed_over(spark):
+    def page(host, body):
+        return f"<nav><p>Home {host}<p>About</nav><p>{body}<footer>foot {host}</footer>"
+
+    pages = []
+    for h in range(4):  # runs of 1 to 12 variants of one page, with empty and null pages before, within and behind them
+        for run in range(8):
+            pages += [(f"http://h{h}/r{run:02}/p?utm={v:03}", page(h, f"body {h} {run // 2 if h == 3 else run}") if (v + h) % 5 else ("", None)[v % 2]) for v in range(1 + (run * 5 + h) % 12)]
+    pages += [(f"http://same/{v}", "<p>one<p>two") for v in range(9)] + [("http://tail/a", page("t", "x")), ("http://tail/b", None), *((f"http://tail/c{v}", page("t", "y")) for v in range(9))]
+    rows = sorted((*html_extract.host_path(u), u, tuple(html_extract.text_lines(h))) for u, h in pages)
+    want = {}
+    for k, (host, path, u, own) in enumerate(rows):
+        sides = [next((r for r in side if r[0] == host and r[3] and r[3] != own), None) for side in (rows[:k][::-1], rows[k + 1 :])]
+        fit = [r for r in sides if r]
+        other = max(fit, key=lambda r: html_extract.shared_prefix(path, r[1]))[3] if own and fit else ()
+        ids = {x: i for i, x in enumerate(dict.fromkeys(own + other))}
+        want[u] = [own[i] for i in html_extract.kept_lines([ids[x] for x in own], [ids[x] for x in other])]
+    assert all(len(want[r[2]]) == 1 for r in rows if r[3] and r[0] != "same")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "7", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.url: r.text for r in html_extract.extract(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert got == {u: "\n".join(x) for u, x in want.items()}
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a/x", "<p>nav<p>one"), (2, "http://a/y", "<p>nav<p>two"), (2, "http://a/y", "<p>nav<p>two"), (3, None, None), (4, "", ""), (None, "http://b/", "<p>solo"), (5, "not a url", "<p>" + "long " * 50_000), (6, "http://c/1", "<p>same"), (7, "http://c/2", "<p>same")]
     df = spark.createDataFrame([(*r, "h", "p", "l") for r in rows], "page_id long, url string, html string, host string, path string, lines string")
