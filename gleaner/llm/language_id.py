@@ -1,11 +1,12 @@
 """Language identification by averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
 Texts are put in lower case; digits and ASCII punctuation count as white space. The subwords are byte n-grams (orders 2 to 4),
-hashed into buckets. A text's embedding is the mean over its n-grams, and a linear softmax over it gives the languages'
+hashed into buckets. Every label that occurs is learned. A text's embedding is the mean over its n-grams, and a linear softmax over it gives the languages'
 probabilities. Stochastic gradient descent in numpy trains embeddings and softmax on a sample of labelled rows, bounded by
-``per_language`` rows of each language (the rows of least hash) of up to ``max_train_chars`` characters; they are cut into passages, so
+``per_language`` rows of each language (the rows of least hash; fewer if all would be over ``max_train_rows``, but one at least) of up to ``max_train_chars`` characters; they are cut into passages, so
 that short texts are met in training too. As mean and softmax are linear in the embeddings, scoring adds one row of a
-buckets-by-languages table for each n-gram of the whole text.
+buckets-by-languages table for each n-gram of the whole text; with more languages than dimensions it adds the embeddings themselves,
+so that the work for an n-gram and the model stay bounded.
 
 Held-out rows calibrate a temperature and two bounds, and a prediction is accepted if it keeps both. One is on the probability, which
 tells the languages from each other: ``SURE``, or the ``false_reject`` quantile of what rightly predicted held-out texts get, if that is
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm._spark import fresh, mapped, pick, written
@@ -39,6 +40,8 @@ _GAP[[b for b in range(128) if not chr(b).isalpha()]] = 32
 #: A text in two languages gets about a half for each, a foreign one little more than any language's share of one.
 SURE = 0.42
 PRIOR, NEGATIVE = 60, 0.99
+#: Bounds the held-out texts, and passages, times languages.
+CALIBRATION_CELLS = 8_000_000
 _SCRIPTS = (0x3B1, 0x430, 0x5D0, 0x628, 0x905, 0xE01, 0x10D0, 0x3042, 0x4E00, 0xAC00)
 SCORED = "doc_id bigint, language string, confidence double, accepted boolean"
 
@@ -72,7 +75,7 @@ def subwords(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # languages x buckets
+    table: np.ndarray  # languages x buckets, or dimensions x buckets
     temperature: float
     threshold: float
     usual: np.ndarray | None = None  # logarithm of each bucket's share of the n-grams
@@ -80,11 +83,12 @@ class Model:
     least_fit: float = -np.inf
     false_reject: float = 0.0
     false_accept: dict[str, float] | None = None  # by kind of foreign text
+    out: np.ndarray | None = None  # dimensions x languages, if the table has dimensions
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of each text by language, its fit, and its n-grams."""
         ids, offsets, count = subwords(column)
-        total = np.zeros((len(self.languages), len(offsets) - 1))
+        total = np.zeros((len(self.table), len(offsets) - 1))
         for k, row in enumerate(self.table):
             for bucket in ids:
                 total[k] += segment_sums(row[bucket], offsets)
@@ -92,7 +96,8 @@ class Model:
         if self.usual is not None:
             for bucket in ids:
                 fit += segment_sums(self.usual[bucket], offsets)
-        return (total / np.maximum(count, 1)).T, fit / (count + PRIOR), count
+        mean = (total / np.maximum(count, 1)).T
+        return mean if self.out is None else mean @ self.out, fit / (count + PRIOR), count
 
     def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         score, _, count = self.scores(column)
@@ -130,13 +135,20 @@ def passages(texts: list[str], size: int) -> list[tuple[int, str]]:
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int = 400, rate: float = 20.0, batch: int = 64, held: float = 0.25, false_reject: float = 0.0005, seed: int = 3) -> Model:
-    """The model of labelled texts; the last ``held`` part of them, in random order, calibrates it."""
+    """The model of labelled texts; the last ``held`` part of them, in random order, calibrates it. Of each language one text trains at least."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     cut = max(1, int(len(order) * (1 - held)))
     target = np.searchsorted(languages, labels)
+    absent = order[cut:][~np.isin(target[order[cut:]], target[order[:cut]])]
+    absent = absent[np.unique(target[absent], return_index=True)[1]]
+    order = np.r_[order[:cut], absent, order[cut:][~np.isin(order[cut:], absent)]]
+    cut += len(absent)
     buckets = (1 << BUCKET_BITS) + 1
+    wide = len(languages) > DIMENSIONS
+    if wide:  # a language's share of the steps falls with their number
+        rate, least_steps = rate * min(15.0, len(languages) / 5), least_steps * max(1, len(languages) // 80)
     deep = np.zeros((buckets, DIMENSIONS), dtype=np.float32)
     out = rng.normal(0, 1 / np.sqrt(DIMENSIONS), (DIMENSIONS, len(languages))).astype(np.float32)
     own = [texts[i] for i in order[:cut]]
@@ -171,12 +183,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int
             for d in range(DIMENSIONS):
                 deep[:, d] -= np.bincount(held_grams, weights=back[row, d], minlength=buckets)
             step += 1
-    table = np.ascontiguousarray((deep @ out).T)
+    table = np.ascontiguousarray((deep if wide else deep @ out).T)
     table[:, -1] = 0
-    model = Model(languages, table.astype(np.float32), 1.0, 0.0)
+    model = Model(languages, table.astype(np.float32), 1.0, 0.0, out=out if wide else None)
     rest = [(texts[i], target[i]) for i in order[cut:]] or [(texts[i], target[i]) for i in order]
+    most = max(500, CALIBRATION_CELLS // len(languages))
+    rest = rest[:most]
     whole = [t for t, _ in rest]
     short = passages(whole, 60)
+    if len(short) > most:
+        short = [short[i] for i in rng.permutation(len(short))[:most]]
     true = every_true = np.array([y for _, y in rest] + [rest[i][1] for i, _ in short])
     check = pa.array(whole + [t for _, t in short])
     score, _, count = model.scores(check)
@@ -229,29 +245,27 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int
     return model
 
 
-def labelled_sample(docs: DataFrame, per_language: int, max_train_chars: int, max_languages: int) -> tuple[list[str], list[str]]:
-    """Texts and labels of the labelled rows of least hash, so many of each of the most frequent languages."""
+def labelled_sample(docs: DataFrame, per_language: int, max_train_chars: int, max_train_rows: int) -> tuple[list[str], list[str]]:
+    """Texts and labels of the labelled rows of least hash, so many of each language."""
     rows = docs.select(*pick(docs, "doc_id", "text", "lang")).filter("lang is not null and length(text) between 1 and " + str(max_train_chars))
-    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not many:
         return [], []
+    each = min(per_language, max(1, max_train_rows // len(many)))
     # about twice the rows needed pass the hash, so that the least are among them
-    share = F.create_map(*(x for k, n in many.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * per_language / n + 40 / n) * 2**62)))))
+    share = docs.sparkSession.createDataFrame([(k, int(min(1.0, 2 * each / n + 40 / n) * 2**62)) for k, n in many.items()], "lang string, share bigint")
     key = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 2)
-    some = rows.filter(F.col("lang").isin(list(many))).withColumn("key", key).filter(F.col("key") <= share[F.col("lang")])
-    texts, labels, taken = [], [], dict.fromkeys(many, 0)
-    for r in sorted(some.select("key", "lang", "text").collect(), key=lambda r: (r.key, r.lang, r.text)):
-        if taken[r.lang] < per_language:
-            taken[r.lang] += 1
-            texts.append(r.text)
-            labels.append(r.lang)
-    return texts, labels
+    some = rows.withColumn("key", key).join(F.broadcast(share), "lang").filter("key <= share")
+    least = Window.partitionBy("lang").orderBy("key", "text")
+    some = some.withColumn("at", F.row_number().over(least)).filter(F.col("at") <= each)
+    taken = sorted(some.select("key", "lang", "text").collect(), key=lambda r: (r.key, r.lang, r.text))
+    return [r.text for r in taken], [r.lang for r in taken]
 
 
-def identify(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20_000, max_languages: int = 64, false_reject: float = 0.0005) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20_000, max_train_rows: int = 19_200, false_reject: float = 0.0005) -> DataFrame:
     """(doc_id, language, confidence, accepted) of every row; language is null where rejected."""
     spark = docs.sparkSession
-    texts, labels = labelled_sample(docs, per_language, max_train_chars, max_languages)
+    texts, labels = labelled_sample(docs, per_language, max_train_chars, max_train_rows)
     sent = spark.sparkContext.broadcast(train(texts, labels, false_reject=false_reject) if texts else None)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

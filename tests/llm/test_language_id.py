@@ -84,6 +84,24 @@ def test_languages_left_out_of_training_are_rejected():
         assert model.false_reject < 0.01 and set(model.false_accept) == {"shuffled", "scripts", "left out"} and max(model.false_accept.values()) < 0.2
 
 
+def test_every_label_is_learned_however_many_there_are(spark):
+    def text(k, seed, n=60):
+        own, rng = np.random.default_rng(k), np.random.default_rng((k, seed))
+        words = ["".join(own.choice(list("abcdefghijklmnopqrstuvwxyz"), own.integers(3, 8))) for _ in range(40)]
+        return " ".join(rng.choice(words, n))
+
+    rows = [(100 * k + i, text(k, i), f"l{k:02}") for k in range(80) for i in range(6 if k < 79 else 1)]
+    asked = [(-100 * k - i, text(k, 50 + i), None) for k in range(80) for i in range(1, 4)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(docs).filter("doc_id <= -1").collect()}
+    right = [got[d].language == f"l{-d // 100:02}" for d, _, _ in asked]
+    assert np.mean(right) > 0.9 and {r.language for r in got.values()} >= {f"l{k:02}" for k in range(79)}
+    texts, labels = language_id.labelled_sample(docs, 300, 20_000, 160)
+    assert len(texts) == 159 and len(set(labels)) == 80
+    model = language_id.train(texts, labels)
+    assert model.table.shape[0] == language_id.DIMENSIONS and model.languages == sorted(set(labels))
+
+
 def test_odd_rows(spark):
     docs = table(spark)
     got = {r.doc_id: r for r in language_id.identify(docs).collect()}
