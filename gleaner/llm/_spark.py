@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 
@@ -61,6 +63,26 @@ def pick(df: DataFrame, *names: str) -> list[Column]:
     return [(F.col(f"`{have[n]}`") if n in have else F.lit(None).cast("string")).alias(n) for n in names]
 
 
+def ident(df: DataFrame, name: str = "doc_id") -> Column:
+    """The named id column as bigint, under its name. Ids that are no integers, such as other text, count as null, and so does a missing column."""
+    return pick(df, name)[0].try_cast("bigint").alias(name)
+
+
+def filtered(df: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows for whose texts ``keep`` holds, with all columns, in one scan and without an exchange; a missing column is null text."""
+    plain = [f"c{i}" for i in range(len(df.columns))]  # mapInArrow resolves columns by name, and names may clash or hold dots
+    at = next((p for p, c in zip(plain, df.columns, strict=True) if c.lower() == column.lower()), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at) if at else [batch]:
+                text = part.column(at).cast(pa.string()) if at else pa.nulls(part.num_rows, pa.string())
+                yield part.filter(pa.array(keep(text), pa.bool_()))
+
+    schema = T.StructType([T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, df.schema, strict=True)])
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*df.columns)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch that hold up to ``limit`` bytes of the text column, one row at least."""
     size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

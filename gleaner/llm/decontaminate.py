@@ -6,12 +6,14 @@ item holds one of any k + 1 pieces of the item unchanged; so each item is split
 finds all exact piece hits in one pass over each text, and around every hit Myers' bit-parallel algorithm computes the edit
 distance of the whole item to the best passage. Nothing is sampled, and no hit is dropped: the search is exact.
 
+An item without a budget, of under 1 / error_rate characters, is found where it stands unchanged between word boundaries.
+
 Items travel to the executors in shards of bounded size (``shard_chars``), so what is sent at once does not grow with the
 benchmark; each shard is one more scan of the documents.
 
-Defined cases: null and empty texts hold nothing; items that are null or have under ``min_chars`` characters (of which almost any
-text holds a like passage) are not searched for. Rows are told apart by doc_id alone in the result: a repeated row gives its
-row again; a null doc_id gives rows with null. Repeated items are each reported. Empty tables give an empty result.
+Defined cases: null and empty texts hold nothing; items that are null or nothing but white space are not searched for, all others are,
+however short. Rows are told apart by doc_id alone in the result: a repeated row gives its row again; a doc_id or item_id that is null, or no integer, gives
+rows with null. Repeated items are each reported. Empty tables give an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gleaner.llm._spark import fresh, pick, pieces
+from gleaner.llm._spark import filtered, ident, pick, pieces
 
 MATCH = "doc_id bigint, item_id bigint, distance int"
 
@@ -100,6 +102,10 @@ class Matcher:
         for item, starts in hits.items():
             ident, pattern, budget, peq = self.items[item]
             best, m = budget + 1, len(pattern)
+            if not budget:
+                if any(not text[i - 1 : i].isalnum() and not text[i + m : i + m + 1].isalnum() for i in starts):
+                    yield ident, 0
+                continue
             low = high = None
             for start in sorted(starts):  # where the item would begin; neighbouring places are searched together
                 if low is not None and start <= high + 2 * budget:
@@ -118,11 +124,21 @@ class Matcher:
         return 0 if pattern in passage else myers(peq, m, passage)
 
 
-def _shards(items: DataFrame, min_chars: int, shard_chars: int) -> Iterator[list[tuple[int, str]]]:
+#: One automaton a Python worker, with the shard that it was made of.
+_matcher: list = []
+
+
+def matcher_of(shard: list[tuple[int, str]], error_rate: float) -> Matcher:
+    if not _matcher or _matcher[0] is not shard or _matcher[1] != error_rate:
+        _matcher[:] = shard, error_rate, Matcher(shard, error_rate)
+    return _matcher[2]
+
+
+def _shards(items: DataFrame, shard_chars: int) -> Iterator[list[tuple[int, str]]]:
     shard, size = [], 0
-    for row in items.select(*pick(items, "item_id", "text")).filter("text is not null").toLocalIterator():
+    for row in items.select(ident(items, "item_id"), *pick(items, "text")).filter("text is not null").toLocalIterator():
         text = plain(pa.array([row.text])).to_pylist()[0]
-        if len(text) < min_chars:
+        if not text:
             continue
         if shard and size + len(text) > shard_chars:
             yield shard
@@ -133,17 +149,16 @@ def _shards(items: DataFrame, min_chars: int, shard_chars: int) -> Iterator[list
         yield shard
 
 
-def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, min_chars: int = 40, shard_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, shard_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, distance) of every item within its edit budget in a document."""
     spark = docs.sparkSession
-    doc_id, text = pick(docs, "doc_id", "text")
-    slim = docs.select(doc_id.cast("bigint").alias("doc_id"), text)
+    slim = docs.select(ident(docs), *pick(docs, "text"))
     out = None
-    for shard in _shards(items, min_chars, shard_chars):
+    for shard in _shards(items, shard_chars):
         sent = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, error_rate)
+            matcher = matcher_of(sent.value, error_rate)
             for batch in batches:
                 for part in pieces(batch, "text"):
                     found = [(i, *m) for i, t in enumerate(plain(part.column("text")).to_pylist()) for m in matcher.find(t or "")]
@@ -156,13 +171,14 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, mi
     return spark.createDataFrame([], MATCH) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose doc_id holds an item; rows with null doc_id stay only if their own text holds none."""
-    key = fresh(docs, "key")
-    doc_id, text = pick(docs, "doc_id", "text")
-    # by row, not by id: ids may be null or repeated
-    keyed = docs.withColumn(key, F.xxhash64(doc_id.cast("bigint"), text))
-    mine = keyed.select(F.col(key).alias("doc_id"), text)
-    found = contaminated(mine, items, **options).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(found, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, shard_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` without the rows whose own text holds an item; ids play no part. Each shard filters in one scan what is left."""
+    for shard in _shards(items, shard_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def clean(texts: pa.Array, sent=sent) -> np.ndarray:
+            matcher = matcher_of(sent.value, error_rate)
+            return np.array([next(matcher.find(t or ""), None) is None for t in plain(texts).to_pylist()], dtype=bool)
 
+        docs = filtered(docs, "text", clean)
+    return docs

@@ -18,7 +18,8 @@ shares of held-out texts that are wrongly rejected and of foreign ones that are
 
 Defined cases: null, empty and letterless texts have no language: confidence 0, rejected. Rows without a label are scored but not
 trained on; without any labelled row everything is rejected. With a single language only the fit counts. Ties go to the
-language that sorts first. Repeated rows are scored alike. Empty tables give empty results. Extra columns play no part.
+language that sorts first. Repeated rows are scored alike. Ids that are no integers
+count as null and stay. Empty tables give empty results. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm._spark import fresh, mapped, pick, written
+from gleaner.llm._spark import filtered, ident, mapped, pick
 from gleaner.llm._text import segment_sums, text_bytes
 
 BUCKET_BITS, ORDERS, DIMENSIONS = 15, (2, 3, 4), 16
@@ -262,11 +263,15 @@ def labelled_sample(docs: DataFrame, per_language: int, max_train_chars: int, ma
     return [r.text for r in taken], [r.lang for r in taken]
 
 
-def identify(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20_000, max_train_rows: int = 19_200, false_reject: float = 0.0005) -> DataFrame:
-    """(doc_id, language, confidence, accepted) of every row; language is null where rejected."""
-    spark = docs.sparkSession
+def model_of(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20_000, max_train_rows: int = 19_200, false_reject: float = 0.0005) -> Model | None:
+    """The model trained on a bounded sample of the labelled rows; none without them."""
     texts, labels = labelled_sample(docs, per_language, max_train_chars, max_train_rows)
-    sent = spark.sparkContext.broadcast(train(texts, labels, false_reject=false_reject) if texts else None)
+    return train(texts, labels, false_reject=false_reject) if texts else None
+
+
+def identify(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, language, confidence, accepted) of every row; language is null where rejected. ``options`` are those of model_of."""
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(docs, **options))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = sent.value
@@ -275,15 +280,14 @@ def identify(docs: DataFrame, per_language: int = 300, max_train_chars: int = 20
         names = pa.array([model.languages[k] if ok else None for k, ok in zip(best, accepted, strict=True)] if model is not None else [None] * n, pa.string())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(sure), pa.array(accepted)], names=["doc_id", "language", "confidence", "accepted"])
 
-    doc_id, text = pick(docs, "doc_id", "text")
-    return mapped(docs.select(doc_id.cast("bigint").alias("doc_id"), text), "text", work, SCORED)
+    return mapped(docs.select(ident(docs), *pick(docs, "text")), "text", work, SCORED)
 
 
 def drop_rejected(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose language is rejected, by row: rejected are all rows with the same doc_id and text."""
-    key = fresh(docs, "key")
-    doc_id, text = pick(docs, "doc_id", "text")
-    keyed = docs.withColumn(key, F.xxhash64(doc_id.cast("bigint"), text))
-    mine = keyed.select(F.col(key).alias("doc_id"), text, *(x for x in pick(docs, "lang")))
-    gone = written(identify(mine, **options).filter("not accepted").select(F.col("doc_id").alias(key)).distinct(), "rejected")
-    return keyed.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without the rows whose language is rejected, filtered in one scan. ``options`` are those of model_of."""
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(docs, **options))
+
+    def accepted(texts: pa.Array) -> np.ndarray:
+        return np.zeros(len(texts), dtype=bool) if sent.value is None else sent.value.verdicts(texts)[2]
+
+    return filtered(docs, "text", accepted)

@@ -1,4 +1,5 @@
 import random
+import re
 
 from cases import empty, prose, table
 from hypothesis import given
@@ -39,13 +40,19 @@ def edited(text, n, rng):
 
 def test_against_brute_force(spark):
     rng = random.Random(3)
-    items = [(k, prose(100 + k, 20)) for k in range(6)] + [(7, "short one"), (8, None), (9, prose(100, 20))]
-    docs = [(k, prose(k, 40) + " " + edited(items[k % 6][1], k, rng).upper() + "\n " + prose(50 + k, 10)) for k in range(14)] + [(20, prose(77, 200)), (21, None), (22, "")]
+    items = [(k, prose(100 + k, 20)) for k in range(6)] + [(7, "short one"), (10, "Short"), (11, " \n"), (12, "orto"), (13, "  a SHORT\tone "), (8, None), (9, prose(100, 20))]
+    docs = [(k, prose(k, 40) + " " + edited(items[k % 6][1], k, rng).upper() + "\n " + prose(50 + k, 10)) for k in range(14)] + [(20, prose(77, 200)), (21, None), (22, ""), (23, "a  short One."), (24, "portone short onesie a")]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {}
     for a, t in docs:
         for b, p in items:
-            if t and p and len(p) >= 40 and (x := least(p.lower(), " ".join(t.lower().split()))) <= int(0.05 * len(p)):
+            p = " ".join((p or "").lower().split())
+            if not t or not p:
+                continue
+            if len(p) < 20:
+                if re.search(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", " ".join(t.lower().split())):
+                    want[a, b] = 0
+            elif (x := least(p, " ".join(t.lower().split()))) <= int(0.05 * len(p)):
                 want[a, b] = x
     for shard in (10**6, 100):
         assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(d, i, shard_chars=shard).collect()} == want
@@ -53,6 +60,13 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, i).collect()} == {a for a, _ in docs} - {a for a, _ in want}
 
 
+def test_ids_that_are_no_integers_count_as_null(spark):
+    text = prose(5, 30)
+    docs, items = spark.createDataFrame([("a-1", text)], "doc_id string, text string"), spark.createDataFrame([("q", text)], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, items).collect()] == [(None, None, 0)]
+    assert decontaminate.drop_contaminated(docs, items).count() == 0
+
+
 def test_odd_rows(spark):
     docs = table(spark)
     items = spark.createDataFrame([(1, prose(2, 60), "x"), (None, prose(3, 30), "y"), (2, "", "z"), (3, None, "z")], "item_id long, text string, key string")
