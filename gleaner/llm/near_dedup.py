@@ -10,9 +10,13 @@ and number of tries follow from the number of signatures: the depth grows with i
 size. Leaves are compared exhaustively, large ones by pivots, which is exact for groups;
 every link is verified on all 256 bits. The links' connected components are the groups.
 
-Defined results: null text and texts without words have no signature and are in no group. Null doc_id: in no group. Rows that
-share a doc_id count as one document (its signature is that of the least of their signatures) and share its fate; the stage
-keeps one of them. The least doc_id of a group stays. An empty table gives an empty result. Other columns play no part.
+What this costs: the tries grow with the corpus, since no forest of single bits can hold a recall at a fixed distance otherwise: 16 at
+2e5 distinct signatures, 61 at 5e6, 104 at 3e7, 397 at 1e9, each one row of 48 bytes for a signature.
+
+Defined results: each row is a document. Null text and texts without words have no signature and are in no group. Rows that share a doc_id but
+not the text are told apart, and so are rows with a null doc_id, or one that is no integer, which counts as null. Rows alike in doc_id and text are copies of
+each other; the stage keeps the one whose other columns hash least. Of a group the row with the least doc_id stays, null being the greatest, of equal ones that
+whose text hashes least. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm._spark import fresh, mapped, pick, shuffle_partitions, written
+from gleaner.llm._spark import fresh, ident, mapped, pick, shuffle_partitions, written
 from gleaner.llm._text import hash_spans, mix, plain_bytes, word_spans
 from gleaner.llm.components import connected_components
 
@@ -34,6 +38,7 @@ LIGHT_BYTES, LIGHT_WEIGHT = 4, 0.1
 _BYTE_BITS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1)
 _COUNT = np.array([bin(i).count("1") for i in range(65536)], dtype=np.uint8)
 _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
+_NAMES = [f"s{k}" for k in range(BITS // 64)]
 _MEMBER = "a bigint, b bigint"
 
 
@@ -62,15 +67,21 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
-    """(id, s0, s1, s2, s3) of each document that has words."""
+    """(k, h, doc_id, s0, s1, s2, s3) of each row that has words; k and h are hashes of id and text, and of the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, has = signatures(batch.column("text"))
-        keep = has & np.asarray(batch.column("doc_id").is_valid())
-        s = np.ascontiguousarray(sig.view(np.int64)[keep])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(keep)), *(pa.array(s[:, k]) for k in range(4))], names=["id", "s0", "s1", "s2", "s3"])
+        keep = pa.array(has)
+        s = np.ascontiguousarray(sig.view(np.int64)[has])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("k", "h", "doc_id")), *(pa.array(s[:, k]) for k in range(4))], names=["k", "h", "doc_id", *_NAMES])
+
+    rows = docs.select(ident(docs), *pick(docs, "text")).select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
+    return mapped(rows, "text", work, "k bigint, h bigint, doc_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+
 
-    return mapped(docs.select(*pick(docs, "doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("bigint")), "text", work, "id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes by which rows that differ in id or text are told apart."""
+    return F.xxhash64(doc_id, text).alias("k"), F.xxhash64(text, F.lit(1)).alias("h")
 
 
 def forest_shape(rows: int, distance: int, recall: float, leaf: int) -> tuple[int, int]:
@@ -143,17 +154,17 @@ def _links(sig: np.ndarray, ids: np.ndarray, node: np.ndarray, limit: int, leaf:
     return ids[label[touched]], ids[touched]
 
 
-def _forest(limit: int, leaf: int, depth: int, climb: int):
-    """The mapInArrow body over rows (tree, path, id, s0..s3) sorted by tree and path."""
+def _forest(limit: int, leaf: int, climb: int):
+    """The mapInArrow body over rows (node, id, s0..s3) sorted by node, which is the trie and below it the path of ``depth`` bits."""
 
-    def leaves(path: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    def leaves(path: np.ndarray) -> np.ndarray:
         """A number for each row's leaf: the shortest prefix whose node is small, or the deepest."""
         node = np.zeros(len(path), dtype=np.int64)
         done = np.zeros(len(path), dtype=bool)
         count = 0
         for up in range(climb, -1, -1):
             key = path >> up
-            new = np.r_[True, (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])]
+            new = np.r_[True, key[1:] != key[:-1]]
             index = np.cumsum(new) - 1
             size = np.bincount(index)[index]
             take = ~done & ((size <= leaf) | (up == 0))
@@ -166,17 +177,17 @@ def _forest(limit: int, leaf: int, depth: int, climb: int):
         held: list[np.ndarray] = []
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
-            sig = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
-            a, b = _links(sig, rows[:, 2], leaves(rows[:, 1], rows[:, 0]), limit, leaf)
+            sig = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+            a, b = _links(sig, rows[:, 1], leaves(rows[:, 0]), limit, leaf)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)], axis=1)
-            root = rows[:, 1] >> climb
-            ends = np.flatnonzero((root[1:] != root[:-1]) | (rows[1:, 0] != rows[:-1, 0])) + 1
-            if held and (held[-1][-1, 0] != rows[0, 0] or held[-1][-1, 1] >> climb != root[0]):
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)], axis=1)
+            root = rows[:, 0] >> climb
+            ends = np.flatnonzero(root[1:] != root[:-1]) + 1
+            if held and held[-1][-1, 0] >> climb != root[0]:
                 yield solve(np.concatenate(held))
                 held = []
             if len(ends):
@@ -190,50 +201,52 @@ def _forest(limit: int, leaf: int, depth: int, climb: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 56, design_distance: int | None = None, recall: float = 0.95, leaf: int = 1024, climb: int = 2, seed: int = 7) -> DataFrame:
-    """(doc_id, keep_doc_id) of every document in a group of two or more, the kept one (equal ids) included.
+def grouped(docs: DataFrame, max_distance: int = 56, design_distance: int | None = None, recall: float = 0.95, leaf: int = 2048, climb: int = 2, seed: int = 7) -> DataFrame:
+    """(k, h, doc_id, best) of every row in a group of two or more; best: struct (missing, doc_id, k, h) of the row that stays.
 
     ``max_distance``: bits of 256 in which linked documents may differ. ``recall``: of pairs at ``design_distance``,
     which is ``max_distance`` if not given; closer pairs have a higher one. ``leaf``: rows that a node may have to be compared whole. ``climb``: prefixes by which a row in
     a sparse region climbs above the deepest one.
     """
     spark = docs.sparkSession
-    names = ["s0", "s1", "s2", "s3"]
-    one = signature_table(docs).groupBy("id").agg(F.min(F.struct(*names)).alias("s")).select("id", "s.*")
-    sigs = written(one, "signatures")
-    same = Window.partitionBy(*names)
-    marked = written(sigs.select("id", *names, F.min("id").over(same).alias("rep")), "copies")
-    distinct = marked.filter("id = rep").select("id", *names)
-    rows = distinct.count()
+    sigs = written(signature_table(docs), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "k", "h"))
+    # numbered once and for all by being written
+    nodes = written(sigs.groupBy(*_NAMES).agg(least.alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "copies")
+    rows = nodes.count()
     depth, tries = forest_shape(rows, max_distance if design_distance is None else design_distance, recall, leaf)
     climb = min(climb, max(depth - 1, 0))
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(BITS)[:depth] for _ in range(tries)]
 
-    def path(order: np.ndarray):
-        out = F.lit(0).cast("bigint")
+    def node(tree: int, order: np.ndarray) -> Column:
+        out = F.lit(tree).cast("bigint")
         for bit in order:
-            out = F.shiftleft(out, 1).bitwiseOR(F.shiftrightunsigned(F.col(names[bit // 64]), int(bit % 64)).bitwiseAND(F.lit(1).cast("bigint")))
+            out = F.shiftleft(out, 1).bitwiseOR(F.shiftrightunsigned(F.col(_NAMES[bit // 64]), int(bit % 64)).bitwiseAND(F.lit(1).cast("bigint")))
         return out
 
-    nodes = F.explode(F.array(*(F.struct(F.lit(t).cast("bigint").alias("tree"), path(o).alias("path")) for t, o in enumerate(orders))))
-    spread = distinct.select(nodes.alias("n"), "id", *names).select("n.tree", "n.path", "id", *names)
-    spread = spread.repartition(shuffle_partitions(spark), "tree", F.shiftright("path", climb)).sortWithinPartitions("tree", "path", "id")
-    links = spread.mapInArrow(_forest(max_distance, leaf, depth, climb), _MEMBER).filter("a != b")
-    groups = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # from representatives to all documents
-    member = marked.join(groups.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("id", F.coalesce("top", "rep").alias("keep"))
-    many = Window.partitionBy("keep")
-    return member.withColumn("n", F.count("*").over(many)).filter("n > 1").select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_doc_id"))
+    spread = nodes.select(F.explode(F.array(*(node(t, o) for t, o in enumerate(orders)))).alias("node"), "id", *_NAMES)
+    spread = spread.repartition(shuffle_partitions(spark), F.shiftright("node", climb)).sortWithinPartitions("node")
+    links = spread.mapInArrow(_forest(max_distance, leaf, climb), _MEMBER).filter("a != b")
+    components = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # from nodes to components, and back to the rows
+    tops = nodes.join(components.withColumnRenamed("u", "id"), "id", "left").select(*_NAMES, F.coalesce("v", "id").alias("top"), "least", "n")
+    best = tops.groupBy("top").agg(F.min("least").alias("best"), F.sum("n").alias("many")).filter("many > 1").select("top", "best")
+    return sigs.join(tops.join(best, "top").select(*_NAMES, "best"), _NAMES).select("k", "h", "doc_id", "best")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, keep_doc_id) of every document in a group of two or more, the kept one (equal ids) included. ``options`` are those of grouped."""
+    return grouped(docs, **options).select("doc_id", F.col("best.doc_id").alias("keep_doc_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group; documents of no group stay. Of rows that share a doc_id one stays."""
-    gone, ident = fresh(docs, "gone"), fresh(docs, "ident")
-    rank = fresh(docs, "rank")
-    removed = near_duplicates(docs, **options).filter("doc_id != keep_doc_id").select(F.col("doc_id").alias(ident), F.lit(True).alias(gone))
-    doc_id, text = pick(docs, "doc_id", "text")
-    left = docs.withColumn(ident, doc_id.cast("bigint"))
-    kept = left.join(removed, ident, "left").filter(F.col(gone).isNull())
-    order = Window.partitionBy(ident).orderBy(F.xxhash64(text))
-    return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(ident).isNull() | (F.col(rank) == 1)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with one document of each group; documents of no group stay. ``options`` are those of grouped."""
+    k, h, stays, rank = (fresh(docs, x) for x in ("k", "h", "stays", "rank"))
+    stay = (F.col("k") == F.col("best.k")) & (F.col("h") == F.col("best.h"))
+    known = grouped(docs, **options).select(F.col("k").alias(k), F.col("h").alias(h), stay.alias(stays)).distinct()
+    own_k, own_h = row_key(ident(docs), *pick(docs, "text"))
+    left = docs.withColumns({k: own_k, h: own_h}).join(known, [k, h], "left").filter(F.coalesce(F.col(stays), F.lit(True)))
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy(k, h).orderBy(F.xxhash64(*others) if others else F.lit(0))
+    return left.withColumn(rank, F.row_number().over(order)).filter(F.col(stays).isNull() | (F.col(rank) == 1)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -77,7 +77,7 @@ def pairs_apart(rng, distances):
 
 def test_tries_meet_the_farthest_pairs_at_any_size():
     rng = np.random.default_rng(4)
-    default = {k: v.default for k, v in inspect.signature(near_dedup.near_duplicates).parameters.items()}
+    default = {k: v.default for k, v in inspect.signature(near_dedup.grouped).parameters.items()}
     design = default["max_distance"] if default["design_distance"] is None else default["design_distance"]
     for rows in (10_000, 1_000_000, 15_000_000):  # 30 GB have some 15 million documents
         depth, tries = near_dedup.forest_shape(rows, design, default["recall"], default["leaf"])
@@ -91,9 +91,9 @@ def test_isolated_pairs_at_45_to_56_bits_are_linked(spark, monkeypatch):
     distances = np.repeat(np.arange(45, 57), 150)
     sig = pairs_apart(np.random.default_rng(6), distances)
     assert near_dedup.hamming(sig[::2], sig[1::2]).tolist() == distances.tolist()
-    rows = [(i, *map(int, s)) for i, s in enumerate(sig.view(np.int64))]
+    rows = [(i, i, i, *map(int, s)) for i, s in enumerate(sig.view(np.int64))]
     monkeypatch.setattr(near_dedup, "signature_table", lambda docs: docs)
-    got = {r.doc_id: r.keep_doc_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "id long, s0 long, s1 long, s2 long, s3 long"), leaf=8).collect()}
+    got = {r.doc_id: r.keep_doc_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "k long, h long, doc_id long, s0 long, s1 long, s2 long, s3 long"), leaf=8).collect()}
     linked = np.array([got.get(2 * k + 1) == 2 * k for k in range(len(distances))])
     assert linked[distances >= 54].mean() > 0.9 and linked.mean() > 0.9
     assert len(got) == 2 * linked.sum()
@@ -113,15 +113,25 @@ def test_dense_leaves_are_exact():
 
 def test_odd_rows(spark):
     got = sorted((r.doc_id, r.keep_doc_id) for r in near_dedup.near_duplicates(table(spark)).collect())
-    assert got == [(1, 1), (2, 1), (11, 1)] or got == [(1, 1), (11, 1)]
+    assert got == [(1, 1), (2, 1), (2, 1), (11, 1)]  # the row of id 2 with another text is in no group
     docs = table(spark)
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None and i not in (1, 2, 11)) == [3, 4, 5, 6, 7, 8, 9, 10, 12] and ids.count(None) == 2 and ids.count(1) == 1 and ids.count(2) <= 1
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12] and sum(r.doc_id is None for r in rows) == 2
+    assert [r.text for r in rows if r.doc_id == 2] == [prose(5, 90)]
     assert near_dedup.near_duplicates(empty(spark)).count() == 0 and near_dedup.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_ids_and_repeated_ids(spark):
+    a, b = prose(31, 90), prose(32, 90)
+    rows = [(None, a, 1), (None, a, 2), ("x", a, 3), ("7", a, 4), ("7", b, 5), ("7", b, 5), ("8", None, 6), ("8", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, k int")
+    got = sorted(((r.doc_id, r.keep_doc_id) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == [(7, 7)] * 3 + [(None, 7)] * 3
+    assert sorted((r.doc_id, r.text or "") for r in near_dedup.drop_near_duplicates(docs).collect()) == sorted([("7", a), ("7", b), ("8", ""), ("8", "")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 9)] + [(20, 30), (30, 20), (5, 5), (None, 3), (40, 41), (41, 42), (40, 42)]
     got = {r.u: r.v for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
