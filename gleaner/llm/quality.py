@@ -10,7 +10,7 @@ characters. Held-out good rows set the threshold: the ``false_reject`` quantile
 
 Defined cases: null and empty texts, and those without words, have quality 0 and are not kept. Missing lang or source hash as null.
 Labels other than 0 and 1 and labels without a document are left out; a document with several labels counts with each. Without labels
-of both kinds there is no model: texts with words get 0.5 and are kept. Repeated rows are scored alike. Empty tables give
+of both kinds there is no model: texts with words get 0.5 and are kept. Ids that are no integers count as null. Labelled rows alike in their id's hash are taken by id, then label; repeated rows are scored alike. Empty tables give
 empty results; extra columns play no part.
 """
 
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._spark import mapped, pick
+from gleaner.llm._spark import ident, mapped, pick
 from gleaner.llm._text import hash_spans, segment_sums, text_bytes, word_spans
 
 WORD_BITS, META, STATS, RANK = 14, 64, 10, 4
@@ -136,9 +136,9 @@ def train(batch: pa.RecordBatch, label: np.ndarray, epochs: int = 8, rate: float
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, sample: int, max_train_chars: int) -> list:
     """(text, lang, source, label) of up to ``sample`` labelled rows, those whose ids' hashes are least."""
-    ident, kind = pick(labels, "doc_id", name)
-    some = labels.select(ident.cast("bigint").alias("ident"), kind.cast("int").alias("label")).filter("ident is not null and label in (0, 1)").distinct().orderBy(F.xxhash64("ident", F.lit(4)), "ident", "label").limit(sample)
-    rows = docs.select(*pick(docs, "doc_id", "text", "lang", "source")).filter(f"length(text) between 1 and {max_train_chars}")
+    (kind,) = pick(labels, name)
+    some = labels.select(ident(labels).alias("ident"), kind.try_cast("int").alias("label")).filter("ident is not null and label in (0, 1)").distinct().orderBy(F.xxhash64("ident", F.lit(4)), "ident", "label").limit(sample)
+    rows = docs.select(ident(docs), *pick(docs, "text", "lang", "source")).filter(f"length(text) between 1 and {max_train_chars}")
     # the broadcast side has ``sample`` rows of two numbers at most
     found = rows.join(F.broadcast(some), F.col("doc_id") == F.col("ident")).select("text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "label").collect()
     return sorted(found, key=lambda r: (r.text, r.label, r.lang or "", r.source or ""))
@@ -162,5 +162,5 @@ def assess(docs: DataFrame, labels: DataFrame, sample: int = 6000, max_train_cha
         keep = (many > 0) & (p >= (0.5 if m is None else m.threshold))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(keep)], names=["doc_id", "quality", "keep"])
 
-    doc_id, text, lang, source = pick(docs, "doc_id", "text", "lang", "source")
-    return mapped(docs.select(doc_id.cast("bigint").alias("doc_id"), text, lang.cast("string").alias("lang"), source.cast("string").alias("source")), "text", work, SCORED)
+    text, lang, source = pick(docs, "text", "lang", "source")
+    return mapped(docs.select(ident(docs), text, lang.cast("string").alias("lang"), source.cast("string").alias("source")), "text", work, SCORED)
