@@ -11,7 +11,7 @@ each partition gets the rows at its neighbours' edges: the outermost two of each
 
 Defined cases: null and empty html give an empty text. A null url, or one without a host, has the host ''. A page alone on its host keeps all
 lines. Pages without lines and pages with the very same lines tell nothing and are passed over, however many there are in a row; a page keeps all
-its lines only if its host has no other page that differs. Equal rows
+its lines only if its host has no other page that differs. A page_id that is no integer counts as null. Equal rows
 count as one page and get equal results. Empty tables give empty results; other columns play no part.
 """
 
@@ -21,6 +21,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._spark import checkpointed, mapped, pick, shuffle_partitions
+from gleaner.llm._spark import checkpointed, ident, mapped, pick, shuffle_partitions
 from gleaner.llm._text import hash_spans, text_bytes
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*+)(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+|[!?/a-zA-Z][^>]*+)>")
+_HIDDEN = re.compile(r"<!--|<(script|style|head|noscript|template|svg|iframe)\b", re.I)
+_CLOSED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "head", "noscript", "template", "svg", "iframe")}
+_TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*+)(?:\"[^\"]*\"|'[^']*'|[^'\"<>]++)*+|[!?/a-zA-Z][^>]*+)>")
+SHORT = 2000  # lines of a page for which memory is no matter
 _SPACE = re.compile(r"[ \t\r\n\f\v\xa0]+")
 _BLOCK = frozenset("address article aside blockquote body br canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(\?[^#]*)?")
@@ -42,12 +45,33 @@ def _end(tag: re.Match) -> str:
     return "\n" if (tag[1] or "").lower() in _BLOCK else ""
 
 
+def shown(html: str) -> str:
+    """The page without comments and elements that hold no text to read; one that isn't closed ends with the page. In linear time."""
+    out, at = [], 0
+    while (m := _HIDDEN.search(html, at)) is not None:
+        if m[1] is None:
+            end = html.find("-->", m.end())
+            close = end + 3
+        else:
+            opened = html.find(">", m.end())
+            if opened < 0:  # no tag ends from here on
+                break
+            tag = _CLOSED[m[1].lower()].search(html, opened + 1)
+            end, close = (tag.start(), tag.end()) if tag else (-1, 0)
+        out += [html[at : m.start()], " "]
+        if end < 0:
+            return "".join(out)
+        at = close
+    return "".join([*out, html[at:]])
+
+
 def text_lines(html: str | None) -> list[str]:
     """The lines of text of a page."""
     if not html:
         return []
-    flat = _SPACE.sub(" ", _HIDDEN.sub(" ", html))
-    text = _TAG.sub(_end, flat)
+    flat = _SPACE.sub(" ", shown(html))
+    last = flat.rfind(">") + 1  # behind it there is no tag
+    text = _TAG.sub(_end, flat[:last]) + flat[last:]
     if "&" in text:
         text = "\n".join(_SPACE.sub(" ", entities.unescape(line)) for line in text.split("\n"))
     return [line for x in text.split("\n") if (line := _SPACE.sub(" ", x).strip())]
@@ -66,10 +90,18 @@ def shared_prefix(a: str, b: str) -> int:
     return n
 
 
+def _bits(at: list[int], size: int) -> int:
+    """A number with the bits ``at`` set."""
+    out = bytearray(size // 8 + 1)
+    for j in at:
+        out[j >> 3] |= 1 << (j & 7)
+    return int.from_bytes(out, "little")
+
+
 def kept_lines(own: list[int], other: list[int]) -> list[int]:
     """Indices of the lines outside the longest common subsequence, by bit-parallel rows (Crochemore's recurrence).
 
-    Where several subsequences are longest, lines are matched from the end, each at its last place.
+    Memory grows with the lines to the power of 1.5, by an eighth of a byte. Where several subsequences are longest, lines are matched from the end, each at its last place.
     """
     low = 0
     while low < min(len(own), len(other)) and own[low] == other[low]:
@@ -78,16 +110,38 @@ def kept_lines(own: list[int], other: list[int]) -> list[int]:
     while high < min(len(own), len(other)) - low and own[-1 - high] == other[-1 - high]:
         high += 1
     a, b = own[low : len(own) - high], other[low : len(other) - high]
-    where: dict[int, int] = {}
+    places: dict[int, list[int]] = defaultdict(list)
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full, v = (1 << len(b)) - 1, (1 << len(b)) - 1
-    rows = [v]  # a zero at bit j of row i: b[:j + 1] has a longer subsequence with a[:i] than b[:j]
-    for x in a:
-        u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+        places[x].append(j)
+    often = isqrt(len(b)) if len(b) > SHORT else 0
+    where = {x: _bits(at, len(b)) for x, at in places.items() if len(at) > often}  # those of rarer lines are made when needed
+
+    full = (1 << len(b)) - 1
+    step = isqrt(len(a)) + 1
+
+    def after(i: int, v: int) -> int:
+        x = a[i]
+        u = v & (where[x] if x in where else _bits(places[x], len(b)) if x in places else 0)
+        return ((v + u) | (v - u)) & full
+
+    saved = [full]  # row 0, step, 2 * step ...; a zero at bit j of row i: b[:j + 1] has a longer subsequence with a[:i] than b[:j]
+    v = full
+    for i in range(len(a)):
+        v = after(i, v)
+        if (i + 1) % step == 0:
+            saved.append(v)
+    block, rows = -1, []
+
+    def length(i: int, j: int) -> int:
+        """Of the longest common subsequence of a[:i] and b[:j]. Rows between saved ones are made again, so that few are held."""
+        nonlocal block, rows
+        if i // step != block:
+            block = i // step
+            rows = [saved[block]]
+            for k in range(block * step, min((block + 1) * step - 1, len(a))):
+                rows.append(after(k, rows[-1]))
+        return j - (rows[i - block * step] & ((1 << j) - 1)).bit_count()
+
     out, i, j = [], len(a), len(b)
     now = length(i, j)
     while i:
@@ -121,12 +175,12 @@ def _light(batch: pa.RecordBatch) -> pa.RecordBatch:
     raw, offsets = text_bytes(pa.array([x for page in lines for x in page], pa.large_string()))
     hashes = hash_spans(raw, offsets[:-1], offsets[1:]).view(np.int64)
     bounds = np.r_[0, np.cumsum([len(page) for page in lines], dtype=np.int64)].astype(np.int32)
-    return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes))], names=["rid", "host", "path", "hashes"])
+    return pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("rid2"), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes))], names=["rid", "rid2", "host", "path", "hashes"])
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     lines = [text_lines(h) for h in batch.column("html").to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("page_id"), batch.column("url"), pa.array(lines, pa.list_(pa.string()))], names=["rid", "page_id", "url", "lines"])
+    return pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("rid2"), batch.column("page_id"), batch.column("url"), pa.array(lines, pa.list_(pa.string()))], names=["rid", "rid2", "page_id", "url", "lines"])
 
 
 class _Side:
@@ -154,7 +208,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head: list[tuple] = []  # the first row with lines, and the first of its host that differs
     tail = _Side()
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
             tail.add(row)
             if row[2] and (not head or len(head) == 1 and row[0] == head[0][0] and row[2] != head[0][2]):
                 head.append(row)
@@ -173,10 +227,10 @@ def nearest(here: tuple, before: tuple | None, behind: tuple | None) -> tuple |
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_lines, n_deleted) of every page; the text has its own lines, one a line."""
     spark = pages.sparkSession
-    page_id, url, html = pick(pages, "page_id", "url", "html")
-    base = pages.select(page_id, url, html).withColumn("rid", F.xxhash64("page_id", "url", "html"))
-    light = mapped(base.select("rid", "url", "html"), "html", _light, "rid bigint, host string, path string, hashes array<bigint>").dropDuplicates(["rid"])
-    key = ["host", "path", "rid"]
+    # two hashes tell rows apart
+    base = pages.select(ident(pages, "page_id"), *pick(pages, "url", "html")).withColumns({"rid": F.xxhash64("page_id", "url", "html"), "rid2": F.xxhash64("html", "url", F.lit(5))})
+    light = mapped(base.select("rid", "rid2", "url", "html"), "html", _light, "rid bigint, rid2 bigint, host string, path string, hashes array<bigint>").dropDuplicates(["rid", "rid2"])
+    key = ["host", "path", "rid", "rid2"]
     sorted_ = checkpointed(light.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key))
     ends: dict[tuple[int, int], list[tuple]] = defaultdict(list)
     for r in sorted_.mapInArrow(_edges, "part int, end int, host string, path string, hashes array<bigint>").collect():  # four rows a partition at most
@@ -199,35 +253,35 @@ def extract(pages: DataFrame) -> DataFrame:
         held: list[tuple[tuple, tuple | None]] = []  # rows with the same lines, or none, and what lies before each, until a row behind differs
 
         def solve(row: tuple, before: tuple | None, behind: tuple | None) -> tuple:
-            other = nearest(row[1:], before, behind)
-            own = row[3]
+            other = nearest(row[2:], before, behind)
+            own = row[4]
             kept = list(range(len(own))) if other is None else kept_lines(own, other[2])
-            return row[0], runs_of(kept), len(kept)
+            return row[0], row[1], runs_of(kept), len(kept)
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.int32())], names=["rid", "runs", "n_kept"])
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], kind), pa.array([o[3] for o in out], pa.int32())], names=["rid", "rid2", "runs", "n_kept"])
 
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if held and (row[1] != held[0][0][1] or row[3] and row[3] != held[0][0][3]):
-                    behind = row[1:] if row[1] == held[0][0][1] else None
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if held and (row[2] != held[0][0][2] or row[4] and row[4] != held[0][0][4]):
+                    behind = row[2:] if row[2] == held[0][0][2] else None
                     out += [solve(x, y, behind) for x, y in held]
                     held = []
-                if row[3]:
-                    row = (*row[:3], held[0][0][3] if held else row[3])  # one copy of the lines for all of them
-                    held.append((row, before.other(row[1:])))
-                    before.add(row[1:])
+                if row[4]:
+                    row = (*row[:4], held[0][0][4] if held else row[4])  # one copy of the lines for all of them
+                    held.append((row, before.other(row[2:])))
+                    before.add(row[2:])
                 else:
                     out.append(solve(row, None, None))
             if out:
                 yield batch_of(out)
         if held:
-            behind = _Side(after[::-1]).other(held[0][0][1:])
+            behind = _Side(after[::-1]).other(held[0][0][2:])
             yield batch_of([solve(x, y, behind) for x, y in held])
 
-    kept = sorted_.mapInArrow(pair, "rid bigint, runs array<struct<start:int,length:int>>, n_kept int")
-    lines = mapped(base, "html", _lines, "rid bigint, page_id bigint, url string, lines array<string>") if dict(base.dtypes)["page_id"] == "bigint" else mapped(base.withColumn("page_id", F.col("page_id").cast("bigint")), "html", _lines, "rid bigint, page_id bigint, url string, lines array<string>")
+    kept = sorted_.mapInArrow(pair, "rid bigint, rid2 bigint, runs array<struct<start:int,length:int>>, n_kept int")
+    lines = mapped(base, "html", _lines, "rid bigint, rid2 bigint, page_id bigint, url string, lines array<string>")
     own = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("lines", r["start"], r["length"]))), "\n")
-    return lines.join(kept, "rid").select("page_id", "url", own.alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.col("n_kept")).alias("n_deleted"))
+    return lines.join(kept, ["rid", "rid2"]).select("page_id", "url", own.alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.col("n_kept")).alias("n_deleted"))

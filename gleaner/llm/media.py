@@ -7,8 +7,8 @@ codes both frequency bins and the distance in time. They are stored as two array
 the earlier peak, and ``codes``. An excerpt of a recording has its codes, at times that differ by a constant.
 
 Defined cases: null values have status 'null', values that the wave module can't read 'invalid', and recordings without a sample, or of
-silence, 'ok' with empty arrays; null and invalid ones have null arrays. Recordings shorter than a frame are padded with zeros. Repeated rows are
-treated alike; a null id stays null. Empty tables give empty results; other columns play no part.
+silence, 'ok' with empty arrays; null and invalid ones have null arrays. The last frame is padded with zeros. Recordings of any length are worked on in
+blocks of frames. Samples may have any number of whole bytes. Repeated rows are treated alike; a null id stays null, and one that is no integer becomes null. Empty tables give empty results; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,26 +24,32 @@ from pyspark.sql import functions as F
 from gleaner.llm._spark import mapped
 
 FRAME, HOP, RANGE_DB, REACH = 512, 256, 50.0, 31
-NEAR_TIME, NEAR_BINS = 2, 6
+NEAR_TIME, NEAR_BINS, BLOCK = 2, 6, 4096
 RATE, NOTE, STEPS = 8000, 160, 24
-PRINTS = "{id} bigint, status string, sample_rate int, n_samples int, times array<int>, codes array<int>"
+PRINTS = "{id} bigint, status string, sample_rate bigint, n_samples bigint, times array<int>, codes array<int>"
 _HANN = np.hanning(FRAME + 1)[:-1]
 
 
-def read_wav(value: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and samples in [-1, 1], channels averaged. Raises wave.Error or EOFError."""
+def read_wav(value: bytes) -> tuple[int, int, int, bytes]:
+    """Sample rate, channels, bytes of a sample, and the whole frames' bytes. Raises wave.Error or EOFError."""
     with wave.open(io.BytesIO(value)) as w:
-        channels, width, rate, n = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
-        raw = w.readframes(n)
-    raw = raw[: len(raw) // (channels * width) * channels * width]
+        channels, width, rate = w.getnchannels(), w.getsampwidth(), w.getframerate()
+        raw = w.readframes(w.getnframes())
+    return rate, channels, width, raw[: len(raw) // (channels * width) * channels * width]
+
+
+def samples(raw: bytes, channels: int, width: int) -> np.ndarray:
+    """Samples in [-1, 1], channels averaged. Of samples of over four bytes the lower bytes don't count."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     elif width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / 2.0**23
+    elif width > 4:
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, width)[:, -4:]).view("<i4").ravel() / 2.0**31
     else:
         x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
-    return rate, x.reshape(-1, channels).mean(axis=1)
+    return x.reshape(-1, channels).mean(axis=1)
 
 
 def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -56,11 +62,16 @@ def write_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+def frames_of(n: int) -> int:
+    """Frames that hold n samples, the last one padded with zeros."""
+    return 1 + max(0, -(-(n - FRAME) // HOP))
+
+
 def spectrogram(samples: np.ndarray) -> np.ndarray:
     """Decibels by frame and frequency bin."""
-    count = max(1, 1 + (len(samples) - FRAME) // HOP)
+    count = frames_of(len(samples))
     padded = np.zeros((count - 1) * HOP + FRAME)
-    padded[: min(len(samples), len(padded))] = samples[: len(padded)]
+    padded[: len(samples)] = samples
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     return 20 * np.log10(np.abs(np.fft.rfft(frames * _HANN, axis=1)) + 1e-9)
 
@@ -73,12 +84,30 @@ def _highest(x: np.ndarray, reach: int, axis: int) -> np.ndarray:
     return view.max(axis=-1)
 
 
-def peaks(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and bins of the peaks, by time, then frequency. Silence has none; equal neighbours are peaks alike."""
-    if level.max() <= -150:
+def peaks(raw: bytes, channels: int, width: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and bins of the peaks, by time, then frequency. Silence has none; equal neighbours are peaks alike.
+
+    So many frames are worked on at once, so that only the recording's bytes and its peaks are held.
+    """
+    size = channels * width
+    n = len(raw) // size
+    count = frames_of(n) if n else 0
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    loudest = -np.inf
+    for start in range(0, count, block):
+        end = min(start + block, count)
+        low, high = max(0, start - NEAR_TIME), min(count, end + NEAR_TIME)
+        level = spectrogram(samples(raw[low * HOP * size : min(n, (high - 1) * HOP + FRAME) * size], channels, width))[: high - low]
+        top = _highest(_highest(level, NEAR_TIME, 0), NEAR_BINS, 1)
+        own = slice(start - low, end - low)
+        time, bins = np.nonzero(level[own] == top[own])
+        found.append((time + start, bins, level[own][time, bins]))
+        loudest = max(loudest, float(level[own].max()))
+    if loudest <= -150:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = _highest(_highest(level, NEAR_TIME, 0), NEAR_BINS, 1)
-    return np.nonzero((level == top) & (level >= level.max() - RANGE_DB))
+    time, bins, level = (np.concatenate(x) for x in zip(*found, strict=True))
+    loud = level >= loudest - RANGE_DB
+    return time[loud], bins[loud]
 
 
 def pairs(time: np.ndarray, bins: np.ndarray, fan: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +132,10 @@ def fingerprint(value: bytes | None, fan: int) -> tuple:
     if value is None:
         return "null", None, None, None, None
     try:
-        rate, x = read_wav(value)
+        rate, channels, width, raw = read_wav(value)
     except (wave.Error, EOFError, ValueError, RuntimeError):
         return "invalid", None, None, None, None
-    t, c = pairs(*peaks(spectrogram(x)), fan) if len(x) else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-    return "ok", rate, len(x), t, c
+    return "ok", rate, len(raw) // (channels * width), *pairs(*peaks(raw, channels, width), fan)
 
 
 def fingerprints(media: DataFrame, id_column: str, wav_column: str, fan: int = 5) -> DataFrame:
@@ -115,11 +143,11 @@ def fingerprints(media: DataFrame, id_column: str, wav_column: str, fan: int = 5
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [fingerprint(v.as_py(), fan) for v in batch.column("wav")]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([batch.column("ident"), *columns], names=[id_column, "status", "sample_rate", "n_samples", "times", "codes"])
 
-    some = media.select(F.col(f"`{id_column}`").cast("bigint").alias("ident"), F.col(f"`{wav_column}`").alias("wav"))
+    some = media.select(F.col(f"`{id_column}`").try_cast("bigint").alias("ident"), F.col(f"`{wav_column}`").alias("wav"))
     return mapped(some, "wav", work, PRINTS.format(id=f"`{id_column}`"))
 
 
@@ -142,5 +170,5 @@ def sound(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 yield work(batch.slice(at, 256))
 
-    some = vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("ident"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"))
+    some = vectors.select(F.col(f"`{id_column}`").try_cast("bigint").alias("ident"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"))
     return some.mapInArrow(run, f"`{id_column}` bigint, wav binary")

@@ -10,7 +10,7 @@ the capacity alone. Documents then find their bins by their rank among those of
 (length, salt), so that frequent lengths are spread over the cluster.
 
 Documents longer than the capacity are cut into pieces of it and a rest. Defined cases: null texts and texts without words are in no
-bin. A null doc_id is packed, as null. Repeated rows are packed each. Ranks in a length go by salt, then doc_id, then the text's
+bin. A null doc_id is packed, as null, and so is one that is no integer. Repeated rows are packed each. Ranks in a length go by salt, then doc_id, then the text's
 hash; for rows equal in all of these the order has no effect. Other columns play no part. An empty table gives no bins.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm._spark import pick, written
+from gleaner.llm._spark import ident, pick, written
 
 SALTS = 64
 _RANK = 1 << 44
@@ -100,8 +100,8 @@ def places(bins: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, np.ndarr
 def pack(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     """(bin_id, n_tokens, doc_ids, pieces) of each bin; pieces: (doc_id, start, length) in words, the longest first."""
     spark = docs.sparkSession
-    doc_id, text = pick(docs, "doc_id", "text")
-    lengths = docs.select(doc_id.cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.regexp_count(text, F.lit(r"\S+")).alias("n")).filter("n > 0")
+    (text,) = pick(docs, "text")
+    lengths = docs.select(ident(docs), F.xxhash64(text).alias("h"), F.regexp_count(text, F.lit(r"\S+")).alias("n")).filter("n > 0")
     parts = lengths.select("doc_id", "h", F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}").cast("int")), lambda i: F.struct((i * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - i * capacity).alias("length")))).alias("p"))
     salt = F.pmod(F.xxhash64("doc_id", "h", "p.start"), F.lit(SALTS)).cast("int")
     table = written(parts.select("doc_id", "h", F.col("p.start").cast("int").alias("start"), F.col("p.length").cast("int").alias("length"), salt.alias("salt")), "pieces")

@@ -11,10 +11,10 @@ A window that holds no whole zone (in a long run, or at the edge of a text) repr
 
 Result: of equal windows, the first by (doc_id, position) stays. A word goes if a later occurrence of a repeated window covers
 it and no first occurrence of a repeated window does. What goes with a word is the white space behind it. Words are split at ASCII white
-space and compared exactly.
+space; windows are compared by fingerprints of 128 bits in all.
 
-Defined cases: null and empty texts and texts under ``window`` words stay as they are. Null doc_id sorts last, and is then null in
-keep_doc_ids. Rows with equal doc_id and text count as one occurrence and are cut alike; those with equal doc_id and different
+Defined cases: null and empty texts and texts under ``window`` words stay as they are. Null doc_id sorts last, as does one that is no
+integer, and is then null in keep_doc_ids. Rows with equal doc_id and text count as one occurrence and are cut alike; those with equal doc_id and different
 text are told apart. A text may be cut to nothing; its row stays. Empty tables give empty results. Other columns pass through;
 n_chars, if there, follows a cut text.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm._spark import fresh, mapped, pick, pieces, shuffle_partitions
+from gleaner.llm._spark import fresh, ident, mapped, pick, pieces, shuffle_partitions
 from gleaner.llm._text import hash_spans, mix, text_bytes, word_spans
 
 ROUNDS = 3
@@ -291,9 +291,9 @@ def _plan(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rid, order, flags, spans = (fresh(docs, x) for x in ("rid", "order", "flags", "spans"))
-    doc_id, text = pick(docs, "doc_id", "text")
+    doc_id, (text,) = ident(docs), pick(docs, "text")
     text_name = next((c for c in docs.columns if c.lower() == "text"), "text")
-    base = docs.withColumn(order, F.coalesce(doc_id.cast("bigint"), F.lit(LAST_ID))).withColumn(rid, F.xxhash64(doc_id.cast("bigint"), text))
+    base = docs.withColumn(order, F.coalesce(doc_id, F.lit(LAST_ID))).withColumn(rid, F.xxhash64(doc_id, text))
     runs = mapped(base.select(F.col(rid).alias("rid"), text), "text", _first_pass(window), "key bigint, rid bigint")
     twice = runs.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     marks = twice.groupBy("rid").agg(F.collect_set("key").alias(flags)).withColumnRenamed("rid", rid)
@@ -306,7 +306,7 @@ def _plan(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
 
 def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, keep_doc_ids, cut_words, text) of each row that loses words: whence its cut passages stay, and what is left."""
-    slim = docs.select(*pick(docs, "doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    slim = docs.select(ident(docs), *pick(docs, "text"))
     joined, spans, text = _plan(slim, window)
     return joined.mapInArrow(_cutter([], text, None, spans, True), "doc_id bigint, keep_doc_ids array<bigint>, cut_words int, text string")
 

@@ -1,7 +1,10 @@
 import io
+import time
+import tracemalloc
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from cases import SCHEMA, empty, prose, table
@@ -96,7 +99,11 @@ def test_fingerprints_against_plain_loops():
     x = media.melody(rng.normal(0, 0.12, 40)) * 0.5 + rng.normal(0, 0.01, 6400)
     wav = media.write_wav(x)
     status, rate, n, times, codes = media.fingerprint(wav, 4)
-    rate_, y = media.read_wav(wav)
+    rate_, channels, width, raw = media.read_wav(wav)
+    y = media.samples(raw, channels, width)
+    many = len(y)
+    while (len(y) - media.FRAME) % media.HOP:
+        y = np.append(y, 0.0)
     frames = range(0, len(y) - media.FRAME + 1, media.HOP)
     hann = [0.5 - 0.5 * np.cos(2 * np.pi * k / media.FRAME) for k in range(media.FRAME)]
     level = np.array([20 * np.log10(np.abs(np.fft.rfft(y[f : f + media.FRAME] * hann)) + 1e-9) for f in frames])
@@ -138,7 +145,7 @@ def test_odd_media(spark):
     by = {r.vec_id: r for r in got}
     assert len(got) == len(rows) and by[1].status == "null" and by[2].status == by[3].status == "invalid" and by[1].times is None
     assert by[4].status == "ok" and by[4].times == [] == by[10].codes and by[5].n_samples == 900 and len(by[None].times) == len(by[None].codes) > 0
-    assert media.read_wav(wav(3, 1, 4))[1].shape == (4,)
+    assert media.samples(media.read_wav(wav(3, 1, 4))[3], 1, 3).shape == (4,)
     vectors = spark.createDataFrame([(1, [0.1, None, -0.2]), (2, None), (3, [])], "vec_id long, embedding array<float>")
     assert {r.vec_id: r.status for r in media.fingerprints(media.sound(vectors, "vec_id", "embedding"), "vec_id", "wav").collect()} == {1: "ok", 2: "null", 3: "ok"}
     assert media.fingerprints(df.limit(0), "vec_id", "wav").count() == 0
@@ -183,3 +190,63 @@ def test_odd_tokens(spark):
     assert "token_ids" not in SCHEMA
     with pytest.raises(ValueError):
         token_output.write_tokens(docs, "x", encoding="none")
+
+
+def test_blocks_give_the_peaks_of_the_whole():
+    rng = np.random.default_rng(8)
+    raw = (rng.normal(0, 3000, 9 * media.HOP + 77)).astype("<i2").tobytes()
+    whole = media.peaks(raw, 1, 2)
+    assert len(whole[0])
+    for block in (1, 2, 3, 7):
+        assert all((a == b).all() for a, b in zip(media.peaks(raw, 1, 2, block), whole, strict=True))
+
+
+def test_wav_headers_of_any_rate_and_width(spark):
+    good = media.write_wav(np.sin(np.arange(3000) / 5))
+    wide = b"RIFF" + (36 + 6000).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (48000).to_bytes(4, "little") + (6).to_bytes(2, "little")
+    wide += (48).to_bytes(2, "little") + b"data" + (6000).to_bytes(4, "little") + bytes(range(250)) * 24
+    fast = good[:24] + (2**32 - 1).to_bytes(4, "little") + good[28:]
+    df = spark.createDataFrame([("1", wide), ("2", fast), ("x", good)], "vec_id string, wav binary")
+    got = {r.vec_id: (r.status, r.sample_rate, r.n_samples) for r in media.fingerprints(df, "vec_id", "wav").collect()}
+    assert got == {1: ("ok", 8000, 1000), 2: ("ok", 2**32 - 1, 3000), None: ("ok", 8000, 3000)}
+    x = media.samples(b"\0\0" + (2**30).to_bytes(4, "little"), 1, 6)
+    assert x.tolist() == [0.5]
+
+
+def test_pages_that_never_close_take_linear_time():
+    for page in ("<script" * 40_000, "<a " * 60_000, "<!--" * 60_000, "</script" * 40_000, "<style>" + "</style " * 40_000, '<a ">" ' * 40_000, "<" * 200_000, "<div>" * 100_000 + "x"):
+        began = time.process_time()
+        html_extract.text_lines(page)
+        assert time.process_time() - began < 5
+    assert html_extract.text_lines("a<!-- b --> c<SCRIPT x>d</Script >e<style>f") == ["a c e"] and html_extract.text_lines("a <script b") == ["a <script b"]
+
+
+def test_rare_lines_of_long_pages_are_aligned_alike(monkeypatch):
+    rng = np.random.default_rng(10)
+    for _ in range(30):
+        a, b = (np.where(rng.random(60) < 0.5, 0, rng.integers(0, 40, 60)).tolist() for _ in range(2))
+        want = html_extract.kept_lines(a, b)
+        assert len(a) - len(want) == lcs(a, b)
+        monkeypatch.setattr(html_extract, "SHORT", 0)
+        assert html_extract.kept_lines(a, b) == want
+        monkeypatch.undo()
+
+
+def test_many_lines_take_little_memory():
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 3000, 6000).tolist(), rng.integers(0, 3000, 6000).tolist()
+    tracemalloc.start()
+    kept = html_extract.kept_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000 and 0 < len(kept) < 6000
+
+
+def test_token_units_of_any_white_space_and_symbols():
+    rng = np.random.default_rng(0)
+    parts = [" ", "\n", "  ", "\t", "a", "b'll", "é", " ", "　", "\x1c", "\x85", "don't", "12", "!!", "\r\n", "ü.", "中", "…."]
+    texts = ["", " ", "\n", "a ", " a", "a\n", "\na", "a\n b", "x" * 5000 + ".y", *("".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(1000))]
+    coder = token_output.Coder(token_output.VOCABULARY, most=50)
+    flat, size = coder.encode_all(pa.array([*texts, None]))
+    ends = np.r_[0, np.cumsum(size)]
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [coder.encoding.encode_ordinary(t) for t in texts] + [[]]
