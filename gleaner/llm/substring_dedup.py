@@ -7,6 +7,7 @@ at their edges. With each symbol goes its *zone*, the stretch of words that sett
 symbol recurs. A window of ``window`` words is represented by the least of the symbols (named with their zones' words) whose
 zones it holds; equal windows have equal representatives. Symbols that represent a single window run are dropped; for the others,
 all windows that they represent are compared by their own 64-bit fingerprints within the symbol's group, which verifies repeats.
+A symbol that over ``hot`` runs share is spread over several tasks, each of which also gets the first of all equal windows.
 A window that holds no whole zone (in a long run, or at the edge of a text) represents itself, so no repeat is missed.
 
 Result: of equal windows, the first by (doc_id, position) stays. A word goes if a later occurrence of a repeated window covers
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,7 @@ from gleaner.llm._spark import fresh, ident, mapped, pick, pieces, shuffle_parti
 from gleaner.llm._text import hash_spans, mix, text_bytes, word_spans
 
 ROUNDS = 3
+HOT = 100_000  # runs of windows of one symbol that one task compares
 LAST_ID = 2**63 - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _inverse = lambda p: np.uint64(pow(int(p), -1, 2**64))
@@ -160,24 +162,24 @@ def _first_pass(window: int):
 def _second_pass(window: int, rid: str, text: str, order: str, flags: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.filter(whole.column(flags).is_valid())
-            if not whole.num_rows:
-                continue
             for batch in pieces(whole, text):
                 part = pa.RecordBatch.from_arrays([batch.column(text)], names=["text"])
                 found = _windows(part, window)
                 if found is None:
                     continue
                 new, end, row, position, key, own, _ = found
-                repeated = np.unique(batch.column(flags).flatten().to_numpy(zero_copy_only=False))
+                marks = batch.column(flags).flatten()
+                repeated, first = np.unique(marks.field("key").to_numpy(zero_copy_only=False), return_index=True)
+                salts = marks.field("salts").to_numpy(zero_copy_only=False)[first]
                 keep = np.flatnonzero(np.isin(key[new].view(np.int64), repeated))
+                salts = salts[np.searchsorted(repeated, key[new[keep]].view(np.int64))]
                 size = (end - new)[keep]
                 bounds = np.r_[0, np.cumsum(size)]
                 pick_ = np.repeat(new[keep] - bounds[:-1], size) + np.arange(bounds[-1])
                 row = pa.array(row[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[new[keep]].view(np.int64)), batch.column(order).take(row), batch.column(rid).take(row), pa.array(position[new[keep]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(own[pick_].view(np.int64)))],
-                    names=["key", "doc", "rid", "position", "prints"],
+                    [pa.array(key[new[keep]].view(np.int64)), pa.array(salts), batch.column(order).take(row), batch.column(rid).take(row), pa.array(position[new[keep]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(own[pick_].view(np.int64)))],
+                    names=["key", "salts", "doc", "rid", "position", "prints"],
                 )
 
     return run
@@ -286,7 +288,7 @@ def _cutter(columns: list[str], text: str, chars: str | None, spans: str, source
     return run
 
 
-def _plan(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
+def _plan(docs: DataFrame, window: int, hot: int) -> tuple[DataFrame, str, str]:
     """docs joined with the spans of each row; names of the spans' and the text column."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -294,28 +296,38 @@ def _plan(docs: DataFrame, window: int) -> tuple[DataFrame, str, str]:
     doc_id, (text,) = ident(docs), pick(docs, "text")
     text_name = next((c for c in docs.columns if c.lower() == "text"), "text")
     base = docs.withColumn(order, F.coalesce(doc_id, F.lit(LAST_ID))).withColumn(rid, F.xxhash64(doc_id, text))
-    runs = mapped(base.select(F.col(rid).alias("rid"), text), "text", _first_pass(window), "key bigint, rid bigint")
-    twice = runs.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    marks = twice.groupBy("rid").agg(F.collect_set("key").alias(flags)).withColumnRenamed("rid", rid)
-    rows = base.join(marks, rid, "left").mapInArrow(_second_pass(window, rid, text_name, order, flags), "key bigint, doc bigint, rid bigint, position int, prints array<bigint>")
+    runs = mapped(base.select(F.col(rid).alias("rid"), text), "text", _first_pass(window), "key bigint, rid bigint").repartition(parts, "key")
+    salts = F.ceil(F.col("n") / hot).cast("int").alias("salts")
+    twice = runs.join(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", salts), "key")
+
+    def rows_of(marked: DataFrame) -> DataFrame:
+        marks = marked.groupBy("rid").agg(F.collect_set(F.struct("key", "salts")).alias(flags)).withColumnRenamed("rid", rid)
+        return base.join(marks, rid).mapInArrow(_second_pass(window, rid, text_name, order, flags), "key bigint, salts int, doc bigint, rid bigint, position int, prints array<bigint>")
+
+    # the windows of a key that many rows share are compared in several tasks: in each with the first of them all
+    salted = lambda salt: F.when(F.col("salts") > 1, F.xxhash64("key", salt)).otherwise(F.col("key")).alias("key")
+    windows = rows_of(twice.filter("salts > 1")).select("key", "salts", "doc", "rid", "position", F.posexplode("prints").alias("i", "print"))
+    first = windows.groupBy("key", "salts", "print").agg(F.min(F.struct("doc", "rid", (F.col("position") + F.col("i")).alias("at"))).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    heads = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(salted(F.col("salt")), "f.doc", "f.rid", F.col("f.at").alias("position"), F.array("print").alias("prints"))
+    rows = rows_of(twice).select(salted(F.pmod("rid", "salts").cast("int")), "doc", "rid", "position", "prints").unionByName(heads)
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "doc", "rid", "position")
     found = rows.mapInArrow(_compare(window), "rid bigint, s int, e int, source bigint, hold boolean")
     by_row = found.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "source", "hold")).alias(spans)).withColumnRenamed("rid", rid)
     return base.join(by_row, rid, "left"), spans, text_name
 
 
-def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     """(doc_id, keep_doc_ids, cut_words, text) of each row that loses words: whence its cut passages stay, and what is left."""
     slim = docs.select(ident(docs), *pick(docs, "text"))
-    joined, spans, text = _plan(slim, window)
+    joined, spans, text = _plan(slim, window, hot)
     return joined.mapInArrow(_cutter([], text, None, spans, True), "doc_id bigint, keep_doc_ids array<bigint>, cut_words int, text string")
 
 
-def drop_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, window: int = 50, hot: int = HOT) -> DataFrame:
     """``docs`` with repeated passages cut from the texts; no row goes."""
     # mapInArrow resolves columns by name and can't bear dots in them, so the others get plain names on the way
     plain = [c.lower() if c.lower() in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)]
-    joined, spans, text = _plan(docs.toDF(*plain), window)
+    joined, spans, text = _plan(docs.toDF(*plain), window, hot)
     chars = next((c for c, f in zip(plain, docs.schema, strict=True) if c == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType))), None)
     fields = [T.StructField(c, f.dataType, f.nullable or c in ("text", "n_chars")) for c, f in zip(plain, docs.schema, strict=True)]
     return joined.mapInArrow(_cutter(plain, text, chars, spans, False), T.StructType(fields)).toDF(*docs.columns)

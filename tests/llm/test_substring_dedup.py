@@ -21,24 +21,25 @@ def brute(docs, window):
     return {order[at]: sorted(c - hold.get(at, set())) for at, c in cut.items() if c - hold.get(at, set())}
 
 
-def check(spark, docs, window):
+def check(spark, docs, window, hot=substring_dedup.HOT):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     want = brute(docs, window)
-    got = {(substring_dedup.LAST_ID if r.doc_id is None else r.doc_id, r.text): r.cut_words for r in substring_dedup.repeated_passages(df, window).collect()}
+    got = {(substring_dedup.LAST_ID if r.doc_id is None else r.doc_id, r.text): r.cut_words for r in substring_dedup.repeated_passages(df, window, hot).collect()}
     left = lambda t, gone: " ".join(w for i, w in enumerate(t.split()) if i not in set(gone))
     assert {(i, " ".join(t.split())): n for (i, t), n in got.items()} == {(i, left(t, g)): len(g) for (i, t), g in want.items()}
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("ab"), min_size=0, max_size=60), max_size=5), st.integers(3, 9))
-def test_small_alphabets(spark, texts, window):
-    check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)], window)
+@given(st.lists(st.lists(st.sampled_from("ab"), min_size=0, max_size=60), max_size=5), st.integers(3, 9), st.sampled_from([1, 2, substring_dedup.HOT]))
+def test_small_alphabets(spark, texts, window, hot):
+    check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)], window, hot)
 
 
 def test_passages_and_runs(spark):
     p = [prose(i, 70) for i in range(4)]
     docs = [(1, p[0]), (2, p[1] + " " + p[0]), (3, f"lead {p[0]} {p[1]} tail"), (4, "x " * 400), (5, "y z " * 150 + p[2]), (6, "start " + "x " * 90), (7, p[2] + " " + p[2]), (8, p[3]), (None, p[3]), (9, p[3][: len(p[3]) // 3])]
-    check(spark, docs, 50)
+    for hot in (1, 3, substring_dedup.HOT):
+        check(spark, docs, 50, hot)
 
 
 def test_odd_rows(spark):
