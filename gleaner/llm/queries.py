@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from gleaner.llm import decontaminate, html_extract, language_id, media, near_dedup, packing, quality, substring_dedup, token_output, toxicity
 
 
@@ -56,12 +55,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-_ALL = (op1_best_fit_packing, op2_substring_dedup, op3_language_id, op4_quality_classifier, op5_html_extraction, op6_media_fingerprints, op7_simhash_near_dedup, op8_token_output, op9_toxicity, op10_benchmark_decontamination, pipeline)
+_ALL = (op1_best_fit_packing, op2_substring_dedup, op3_language_id, op4_quality_classifier, op5_html_extraction, op6_media_fingerprints, op7_simhash_near_dedup, op8_token_output, op9_toxicity, op10_benchmark_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE}
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
