@@ -2,6 +2,11 @@
 
 Each stage takes all that the stage before kept and returns the columns of documents, but for the last, which returns bins. ``run`` writes
 each stage's rows to compressed Parquet in the shared folder, which cuts lineage: a lost executor costs one stage's tasks at most.
+
+Defined cases, by stage: null, empty and letterless texts go at language ID, as they have no language. A row with a null doc_id, or one that is no integer, is
+treated like any other; in bins its id is null. Rows alike in doc_id and text are copies, of which near-dedup keeps one; rows that share a doc_id only are told
+apart. Of equal copies the least doc_id stays, and the first passage in its order. A text that is cut to nothing keeps its row and is in no bin. Texts of any length are
+read whole, and packing cuts those longer than a bin. An empty table gives no bins. Other columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
