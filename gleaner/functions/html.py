@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -29,26 +30,31 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # of open elements by tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends = _CLOSES.get(tag, {"p"} if tag in _BLOCKS else set())
         if self.open[-1].tag in ends:
-            self.open.pop()
+            self.close_last()
             if tag == "tr" and self.open[-1].tag == "tr":
-                self.open.pop()
+                self.close_last()
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.count[tag] += 1
+
+    def close_last(self) -> None:
+        self.count[self.open.pop().tag] -= 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.open[-1].children.append(Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count[tag]:
+            while self.open[-1].tag != tag:
+                self.close_last()
+            self.close_last()
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
@@ -62,18 +68,26 @@ def parse(html: str) -> Node:
 
 
 def text_of(node: Node | str, skip: frozenset[str] = frozenset()) -> str:
-    if isinstance(node, str):
-        return node
-    return "" if node.tag in skip else "".join(text_of(c, skip) for c in node.children)
-
-
-def find_all(node: Node, tag: str) -> list[Node]:
-    out = []
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag == tag:
-                out.append(c)
-            out += find_all(c, tag)
+    out, stack = [], [node]
+    while stack:
+        now = stack.pop()
+        if isinstance(now, str):
+            out.append(now)
+        elif now.tag not in skip:
+            stack += reversed(now.children)
+    return "".join(out)
+
+
+def find_all(node: Node, tag: str, nested: bool = True) -> list[Node]:
+    """The elements of a tag below a node, in the page's order; with or without those that lie in another one."""
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        now = stack.pop()
+        if isinstance(now, Node):
+            if now.tag == tag:
+                out.append(now)
+            if nested or now.tag != tag:
+                stack += reversed(now.children)
     return out
 
 
@@ -97,9 +111,8 @@ def _list(node: Node) -> str:
     return "\n\n" + "\n".join(m + t for m, t in zip(marks, items, strict=False)) + "\n\n"
 
 
-def _markdown(node: Node | str, inside_pre: bool = False) -> str:
-    if isinstance(node, str):
-        return node if inside_pre else re.sub(r"\s+", " ", node)
+def _marked(node: Node) -> str | None:
+    """An element as Markdown by itself; none for one that its children make up."""
     tag = node.tag
     if tag in NOISE or tag == "head":
         return ""
@@ -110,7 +123,7 @@ def _markdown(node: Node | str, inside_pre: bool = False) -> str:
         kinds = ((code.attrs.get("class") if code else None) or "").split()
         language = next((k[9:] for k in kinds if k.startswith("language-")), "")
         return f"\n\n```{language}\n{text_of(node).strip(chr(10))}\n```\n\n"
-    if tag == "code" and not inside_pre:
+    if tag == "code":
         return f"`{text_of(node)}`"
     if tag == "a":
         label, href = _inline(node), node.attrs.get("href")
@@ -122,10 +135,24 @@ def _markdown(node: Node | str, inside_pre: bool = False) -> str:
         return "\n"
     if tag == "table":
         return _table(node)
-    if tag in ("ul", "ol"):
-        return _list(node)
-    inner = "".join(_markdown(c, inside_pre) for c in node.children)
-    return f"\n\n{inner}\n\n" if tag in ("p", "div", "section", "article", "blockquote", "main") else inner
+    return _list(node) if tag in ("ul", "ol") else None
+
+
+def _markdown(node: Node) -> str:
+    out: list[str] = []
+    stack: list[Node | str | tuple[str]] = [node]  # a tuple holds what is put out as it is
+    while stack:
+        now = stack.pop()
+        if isinstance(now, tuple):
+            out.append(now[0])
+        elif isinstance(now, str):
+            out.append(re.sub(r"\s+", " ", now))
+        elif (done := _marked(now)) is not None:
+            out.append(done)
+        else:
+            edge = [("\n\n",)] if now.tag in ("p", "div", "section", "article", "blockquote", "main") else []
+            stack += [*edge, *reversed(now.children), *edge]
+    return "".join(out)
 
 
 def _tidy(text: str) -> str:
@@ -144,27 +171,33 @@ def html_to_markdown(html: str | None) -> str:
 
 
 def _blocks(node: Node) -> str:
-    parts = []
-    for c in node.children:
-        if isinstance(c, str):
-            parts.append(c)
-        elif c.tag == "br":
-            parts.append("\n")
-        elif c.tag not in NOISE and c.tag != "head":
-            inner = _blocks(c)
-            parts.append(f"\n{inner}\n" if c.tag in _BLOCKS else inner)
-    return "".join(parts)
+    out: list[str] = []
+    stack = list(reversed(node.children))
+    while stack:
+        now = stack.pop()
+        if isinstance(now, str):
+            out.append(now)
+        elif now.tag == "br":
+            out.append("\n")
+        elif now.tag not in NOISE and now.tag != "head":
+            edge = ["\n"] if now.tag in _BLOCKS else []
+            stack += [*edge, *reversed(now.children), *edge]
+    return "".join(out)
+
+
+def _lines(node: Node) -> str:
+    return "\n".join(line for x in _blocks(node).split("\n") if (line := " ".join(x.split())))
 
 
 def extract(html: str | None) -> tuple[str, str, str]:
     """(title, text, markdown) of a page: of its article or main part if that has 100 characters, else of all but the noise."""
     root = parse(html or "")
     title = next((_inline(t) for t in find_all(root, "title")), "") or next((_inline(t) for t in find_all(root, "h1")), "")
-    for part in [*find_all(root, "article"), *find_all(root, "main"), root]:
-        text = "\n".join(line for x in _blocks(part).split("\n") if (line := " ".join(x.split())))
-        if len(text) >= 100 or part is root:
-            break
-    return title, text, _tidy(_markdown(part))
+    for tag in ("article", "main"):
+        for part in find_all(root, tag, nested=False):  # one that lies in another has no more text than that
+            if len(text := _lines(part)) >= 100:
+                return title, text, _tidy(_markdown(part))
+    return title, _lines(root), _tidy(_markdown(root))
 
 
 def hrefs(html: str | None) -> list[str]:

@@ -22,32 +22,44 @@ def compressed(df: DataFrame, text: str, query: str, budget: Column, out: str, m
     BM25 over the text's own sentences picks ``most`` of them; the next sentence joins if it begins with a connector; sentences are
     taken until the first that would overflow. If none fits, the first sentence; without sentences, 4 characters a word of budget.
     """
-    start = lambda n: F.lit(n)
-    step = df.withColumn("_budget", budget).withColumn("_s", T.split_sentences(F.coalesce(F.col(text), F.lit(""))))
-    step = step.withColumn("_t", F.transform("_s", T.terms)).withColumn("_query", T.terms(F.col(query)))
-    step = step.withColumn("_mean", F.aggregate("_t", start(0.0), lambda a, t: a + F.size(t)) / F.size("_t"))
-    idf = lambda df_: F.log((F.size("_t") - df_ + 0.5) / (df_ + 0.5) + 1.0)
-    step = step.withColumn("_idf", F.transform("_query", lambda q: F.struct(q.alias("q"), idf(F.size(F.filter("_t", lambda t: F.array_contains(t, q)))).alias("w"))))
-
-    def score(t: Column) -> Column:
-        norm = F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.size(t) / F.greatest(F.col("_mean"), F.lit(1.0)))
-        tf = lambda q: F.size(F.filter(t, lambda x: x == q))
-        return F.aggregate("_idf", start(0.0), lambda a, q: a + q["w"] * (tf(q["q"]) * F.lit(2.2) / (tf(q["q"]) + norm)))
-
-    step = step.withColumn("_order", F.array_sort(F.transform("_t", lambda t, i: F.struct((-score(t)).alias("k"), i.alias("i")))))
-    step = step.withColumn("_top", F.transform(F.slice("_order", 1, most), lambda o: o["i"]))
-    picked = F.filter(F.transform("_s", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: F.array_contains("_top", x["i"]) | (F.array_contains("_top", x["i"] - 1) & x["s"].rlike(_CONNECTOR)))
-    step = step.withColumn("_picked", picked)
     state = F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("parts"))
 
-    def take(a: Column, x: Column) -> Column:
-        n = a["n"] + F.size(T.words(x["s"]))
-        over = a["full"] | (n > F.col("_budget"))
-        return F.struct(F.when(over, a["n"]).otherwise(n).alias("n"), over.alias("full"), F.when(over, a["parts"]).otherwise(F.array_append(a["parts"], x["s"])).alias("parts"))
-
-    step = step.withColumn("_parts", F.aggregate("_picked", state, take)["parts"])
-    value = F.when(F.size("_s") == 0, F.substring(F.col(text), F.lit(1), F.col("_budget") * 4)).when(F.size("_parts") > 0, F.array_join("_parts", " ")).otherwise(F.element_at("_s", 1))
-    return step.withColumn(out, value).drop("_budget", "_s", "_t", "_query", "_mean", "_idf", "_order", "_top", "_picked", "_parts")
+    def kept(sentences: Column, limit: Column) -> Column:
+        def take(a: Column, x: Column) -> Column:
+            n = a["n"] + F.size(T.words(x))
+            over = a["full"] | (n > limit)
+            return F.struct(F.when(over, a["n"]).otherwise(n).alias("n"), over.alias("full"), F.when(over, a["parts"]).otherwise(F.array_append(a["parts"], x)).alias("parts"))
+
+        return F.aggregate(sentences, state, take)["parts"]
+
+    def scored(terms: Column, asked: Column) -> Column:
+        """(k, i) of each sentence, the best first; k is the score, below 0."""
+        n, mean = F.size(terms), F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.size(t)) / F.greatest(F.size(terms), F.lit(1)), F.lit(1.0))
+        held = lambda q: F.size(F.filter(terms, lambda t: F.array_contains(t, q)))
+        weights = F.transform(asked, lambda q: T.let(held(q), lambda df_: F.struct(q.alias("q"), F.log((n - df_ + 0.5) / (df_ + 0.5) + 1.0).alias("w"))))
+
+        def score(t: Column, c: Column) -> Column:
+            norm = F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.size(t) / c["mean"])
+            met = F.transform(c["weights"], lambda q: F.struct(q["w"].alias("w"), T.count_of(t, q["q"]).alias("tf")))
+            return F.aggregate(met, F.lit(0.0), lambda a, x: a + x["w"] * (x["tf"] * F.lit(2.2) / (x["tf"] + norm)))
+
+        return T.let(F.struct(mean.alias("mean"), weights.alias("weights")), lambda c: F.array_sort(F.transform(terms, lambda t, i: F.struct((-score(t, c)).alias("k"), i.alias("i")))))
+
+    def picked(sentences: Column, top: Column) -> Column:
+        joins = lambda s, i: F.array_contains(top, i) | (F.array_contains(top, i - 1) & s.rlike(_CONNECTOR))
+        return F.filter(sentences, joins)
+
+    def best(r: Column) -> Column:
+        """The kept sentences of a row (s: sentences, t: their terms, q: the query's terms, n: the budget)."""
+        order = scored(r["t"], r["q"])
+        top = F.transform(F.slice(order, 1, most), lambda o: o["i"])
+        return T.let(top, lambda i: kept(picked(r["s"], i), r["n"]))
+
+    step = df.withColumn("_s", T.split_sentences(F.coalesce(F.col(text), F.lit("")))).withColumn("_n", budget)
+    row = F.struct(F.col("_s").alias("s"), F.transform("_s", T.terms).alias("t"), T.terms(F.col(query)).alias("q"), F.col("_n").alias("n"))
+    step = step.withColumn("_parts", T.let(row, best))
+    value = F.when(F.size("_s") == 0, F.substring(F.col(text), F.lit(1), F.col("_n") * 4)).when(F.size("_parts") > 0, F.array_join("_parts", " ")).otherwise(F.element_at("_s", 1))
+    return step.withColumn(out, value).drop("_s", "_n", "_parts")
 
 
 def compress_results(hits: DataFrame, queries: DataFrame, total: int | str = 3000) -> DataFrame:

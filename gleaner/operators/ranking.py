@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.session import checkpointed, sized
+from gleaner.sources.corpus import met_terms
 
 BM25_PARAMETERS = {"code": (0.9, 0.50), "academic": (1.5, 0.85), "navigational": (1.0, 0.60), "informational": (1.2, 0.75)}
 RRF_K = 60
@@ -40,14 +42,13 @@ def bm25_scores(hits: DataFrame, queries: DataFrame, content: str = "content") -
     ``queries``: query_id, query, intent. Repeated query terms count each time. Each hit is looked through for its query's
     terms alone, so what is shuffled is a row for each hit and term met, never the contents.
     """
-    asked = queries.select("query_id", F.explode(F.transform(F.array_distinct(T.terms(F.col("query"))), lambda t: F.struct(t.alias("term"), F.size(F.filter(T.terms(F.col("query")), lambda x: x == t)).alias("times")))).alias("q"), "intent")
-    asked = asked.groupBy("query_id").agg(F.collect_list("q").alias("q"), F.first("intent").alias("intent"))
+    asked = queries.select("query_id", "intent", T.terms(F.col("query")).alias("a")).select("query_id", "intent", F.transform(F.array_distinct("a"), lambda t: F.struct(t.alias("term"), T.count_of(F.col("a"), t).alias("times"))).alias("q"))
     counted = hits.select("query_id", "pos", T.terms(F.coalesce(F.col(content), F.lit(""))).alias("t"))
     # the pool's size and mean length take every hit; terms only those that they occur in
     pool = counted.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
-    met = counted.join(asked, "query_id").select("query_id", "pos", "intent", F.size("t").alias("length"), F.explode(F.transform("q", lambda q: F.struct(q["term"].alias("term"), q["times"].alias("times"), F.size(F.filter("t", lambda x: x == q["term"])).alias("tf")))).alias("m"))
+    met = counted.join(sized(asked), "query_id").select("query_id", "pos", "intent", F.size("t").alias("length"), F.explode(F.transform("q", lambda q: F.struct(q["term"].alias("term"), q["times"].alias("times"), T.count_of(F.col("t"), q["term"]).alias("tf")))).alias("m"))
     met = met.filter("m.tf > 0").select("query_id", "pos", "intent", "length", "m.*")
-    df = met.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term"))).join(pool, "query_id")
+    df = met.join(met.groupBy("query_id", "term").agg(F.count("*").alias("df")), ["query_id", "term"]).join(pool, "query_id")
     part = F.col("times") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"), parameter(F.col("intent"), 0), parameter(F.col("intent"), 1))
     return df.groupBy("query_id", "pos").agg(F.sum(part).alias("bm25_score"))
 
@@ -62,17 +63,16 @@ def bm25_rank(hits: DataFrame, queries: DataFrame, content: str = "content") ->
 def corpus_bm25(queries: DataFrame, corpus: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, doc_id, bm25_score, rank) of each query's best documents, by the statistics of the whole corpus (doc_id, text).
 
-    One scan of the corpus: each document is reduced to its length and the query terms it holds.
+    One scan of the corpus reduces each document to its length and the query terms that it holds, in a reliable checkpoint; what is
+    shuffled are these counts, never tokens or texts.
     """
     asked = queries.select("query_id", "intent", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "intent", "term").agg(F.count("*").alias("times"))
-    counted = corpus.select("doc_id", T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-    pool = counted.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
-    wanted = asked.select("term").distinct()
-    tf = counted.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    met = tf.join(asked, "term").crossJoin(F.broadcast(pool))  # the pool is one row
+    held = checkpointed(met_terms(corpus, "text", asked.select("term")))
+    pool = held.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    tf = held.select("doc_id", "length", F.explode("m").alias("m")).select("doc_id", "length", "m.*")
+    terms = asked.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(pool))  # the pool is one row
     part = F.col("times") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("average"), parameter(F.col("intent"), 0), parameter(F.col("intent"), 1))
-    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("bm25_score"))
+    scored = tf.join(sized(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("bm25_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
@@ -121,12 +121,8 @@ def feedback_terms(docs: DataFrame, queries: DataFrame, top: int = 5) -> DataFra
 
 
 def density(corpus: DataFrame) -> DataFrame:
-    """(doc_id, info_density), to 4 places, by counting terms: for corpora whose documents may be long."""
-    split = corpus.select("doc_id", T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-    counted = split.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("w")).groupBy("doc_id", "n", "w").agg(F.count("*").alias("c"))
-    entropy = counted.groupBy("doc_id", "n").agg((-F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n")))).alias("h"))
-    value = F.when(F.col("n") < 2, 0.0).otherwise(F.col("h") / F.log2("n"))
-    return corpus.select("doc_id").join(entropy, "doc_id", "left").select("doc_id", F.round(F.coalesce(value, F.lit(0.0)), 4).alias("info_density"))
+    """(doc_id, info_density), to 4 places; nothing is shuffled."""
+    return corpus.select("doc_id", F.round(T.information_density(F.coalesce("text", F.lit(""))), 4).alias("info_density"))
 
 
 def confidence(relevance: Column, tier: Column, freshness: Column, density: Column, agreement: Column, semantic: Column, weights: Column | None = None) -> Column:

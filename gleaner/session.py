@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,3 +20,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """``df``, to be broadcast if it has ``most`` rows at most; else Spark chooses. Counted by an action, so for what is cheap to compute."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

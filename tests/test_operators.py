@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import html as H
 from gleaner.operators import compression, grounding, links, quality, ranking, resilience
 from gleaner.plans import tools
 from gleaner.plans.server import Server
@@ -171,3 +172,10 @@ def test_research_and_validate(spark):
     summary, sources = tools.validate(spark.createDataFrame([(1, "joins never shuffle")], "query_id long, claim string"), corpus)
     row = summary.first()
     assert row.sources_checked == sources.count() == 5 and row.has_negation_markers and row.sources_supporting == 0
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<article>" * 50_000 + "x", "<ul><li>" * 30_000 + "x", "</p>" * 100_000 + "<i>" * 1000, "<table><tr><td>" * 300 + "x"])
+def test_deep_pages(page):
+    title, text, markdown = H.extract(page)
+    assert title == "" and text in ("x", "") and "x" * ("x" in page) in markdown
+    assert H.hrefs(page) == [] and H.result_links(page) == []
