@@ -7,7 +7,7 @@ taken to raise it again. Adam in numpy trains it. Only words that are more frequ
 as a whole, by a likelihood ratio of ``least``, weigh anything, so that long texts do not add up the noise of all others.
 
 Only the weights are fitted on a bounded sample: ``positives`` toxic rows and ``unlabelled`` rows, those of least hash, of up to ``max_train_chars``
-characters. The words' frequencies and the share of texts above each threshold are counted over all documents. The prior is a parameter; by
+characters; of near-copies among the toxic ones the first counts. The words' frequencies and the share of texts above each threshold are counted over all documents. The prior is a parameter; by
 default it is the share of toxic rows among all labelled ones.
 
 The best threshold is that for which the held-out toxic texts' recall squared, by the number of all documents above it, is greatest; that is
@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm._spark import ident, mapped, pick, pieces, written
+from gleaner.llm.near_dedup import hamming, signatures
 from gleaner.llm._text import hash_spans, plain_bytes, segment_sums, word_spans
 
 BITS = 22
+NEAR = 56  # bits of 256 in which texts of a group of copies differ
 
 
 def words_held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +162,16 @@ def threshold(levels: np.ndarray, edges: np.ndarray, above: np.ndarray) -> float
     return float((edges[best] + edges[np.argmax(above <= worth)]) / 2)
 
 
+def distinct(texts: list[str]) -> list[str]:
+    """The texts without near-duplicates of those before: copies of a text would make all its words telling."""
+    sig, has = signatures(pa.array(texts, pa.string()))
+    kept: list[int] = []
+    for i in range(len(texts)):
+        if not (has[i] and (hamming(sig[kept], sig[i]) <= NEAR).any()):
+            kept.append(i)
+    return [texts[i] for i in kept]
+
+
 def sampled(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, max_train_chars: int) -> tuple[list[str], list[str], float, int]:
     """Toxic texts, unlabelled texts, the share of toxic rows among the labelled, and the number of documents."""
     (toxic,) = pick(labels, "toxic")
@@ -174,7 +186,7 @@ def sampled(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int,
     both = rows.withColumn("key", key).join(F.broadcast(some), F.col("doc_id") == F.col("ident"), "left").filter((F.col("toxic") == 1) | (F.col("key") <= limit))
     # of the unlabelled, the hash admits a few more than wanted, and the least are kept
     found = sorted(both.select("key", F.coalesce("toxic", F.lit(0)).alias("toxic"), "text").collect(), key=lambda r: (r.key, r.text))
-    return [r.text for r in found if r.toxic], [r.text for r in found if r.key <= limit][:unlabelled], float(share or 0.0), total
+    return distinct([r.text for r in found if r.toxic]), [r.text for r in found if r.key <= limit][:unlabelled], float(share or 0.0), total
 
 
 def frequencies(docs: DataFrame, words: np.ndarray) -> np.ndarray:

@@ -167,3 +167,8 @@ def test_long_texts_use_all_words(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 200)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.toxic for r in toxicity.detect(d, labels).collect()}
     assert got[1000] and not got[1001] and all(got[i] == (i % 3 == 0) for i in range(200, 240))
+
+
+def test_near_copies_among_examples_count_once():
+    a, b = prose(21, 100), prose(22, 100)
+    assert toxicity.distinct([a, b, a, a + " more", "", "", b + " x"]) == [a, b, "", ""]
