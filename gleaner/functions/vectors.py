@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,14 +30,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b)
 
 
+@lru_cache(100_000)
+def _hashes(word: str) -> tuple[int, ...]:
+    """Of the word and its letter trigrams."""
+    return tuple(zlib.crc32(g.encode()) for g in [word, *(f"^{word}$"[i : i + 3] for i in range(len(word)))])
+
+
 def embed_text(text: str | None, dimensions: int = 128) -> list[float]:
     """Signed hashes of words and letter trigrams, at length 1. It stands in for a sentence model, which needs a download;
     results are not those of any such model. Pass another embedder where one is at hand."""
     out = np.zeros(dimensions)
-    for w in re.findall(r"\w+", (text or "").lower()):
-        for g in [w, *(f"^{w}$"[i : i + 3] for i in range(len(w)))]:
-            h = zlib.crc32(g.encode())
-            out[h % dimensions] += 1.0 if h >> 31 else -1.0
+    for w, times in Counter(re.findall(r"\w+", (text or "").lower())).items():
+        for h in _hashes(w):
+            out[h % dimensions] += times if h >> 31 else -times
     n = np.linalg.norm(out)
     return (out / n if n else out).tolist()
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.session import checkpointed, sized
+from gleaner.session import kept, sized
 from gleaner.sources.corpus import met_terms
 
 BM25_PARAMETERS = {"code": (0.9, 0.50), "academic": (1.5, 0.85), "navigational": (1.0, 0.60), "informational": (1.2, 0.75)}
@@ -67,7 +67,7 @@ def corpus_bm25(queries: DataFrame, corpus: DataFrame, top: int = 10) -> DataFra
     shuffled are these counts, never tokens or texts.
     """
     asked = queries.select("query_id", "intent", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "intent", "term").agg(F.count("*").alias("times"))
-    held = checkpointed(met_terms(corpus, "text", asked.select("term")))
+    held = kept(met_terms(corpus, "text", asked.select("term")))
     pool = held.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     tf = held.select("doc_id", "length", F.explode("m").alias("m")).select("doc_id", "length", "m.*")
     terms = asked.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(pool))  # the pool is one row

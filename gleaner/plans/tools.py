@@ -11,7 +11,7 @@ from gleaner.functions import urls as U
 from gleaner.functions import vectors as V
 from gleaner.operators import compression, grounding, links, quality, ranking
 from gleaner.operators.grounding import Embedder
-from gleaner.session import checkpointed
+from gleaner.session import kept
 from gleaner.sources import corpus as C
 from gleaner.sources import tables
 
@@ -25,7 +25,8 @@ def _limit(name: str, default: int, most: int, columns: list[str]):
 def prepared(requests: DataFrame, text: str = "raw_query") -> DataFrame:
     """Requests with the normalized query, its intent and its expansion by synonyms."""
     q = requests.withColumn("query", T.normalize_query(F.coalesce(F.col(text), F.lit("")))).withColumn("intent", T.detect_intent(F.col("query")))
-    return q.withColumn("expanded", T.expand_query(F.col("query"), tables.synonym_map()))
+    # a small table that most steps meet again
+    return kept(q.withColumn("expanded", T.expand_query(F.col("query"), tables.synonym_map())))
 
 
 def search(requests: DataFrame, corpus: DataFrame, embed: Embedder = V.hashed_embedding) -> DataFrame:
@@ -35,7 +36,7 @@ def search(requests: DataFrame, corpus: DataFrame, embed: Embedder = V.hashed_em
     """
     q = prepared(requests).withColumn("max_results", _limit("max_results", 10, 20, requests.columns)).withColumn("wanted", F.col("max_results") * 2)
     hits = C.retrieve(q, corpus, "expanded", 40)
-    hits = checkpointed(ranking.bm25_rank(quality.filter_and_classify(hits), q))
+    hits = kept(ranking.bm25_rank(quality.filter_and_classify(hits), q))
     hits = grounding.signals(grounding.detect_contradictions(grounding.semantic_score(hits, q, embed)))
     hits = quality.diversify(grounding.with_confidence(grounding.cross_source_agreement(hits, embed), q))
     hits = hits.filter(F.col("pos") < 20).join(q.select("query_id", "max_results"), "query_id").filter(F.col("pos") < F.col("max_results")).drop("max_results")
@@ -73,16 +74,16 @@ def research(requests: DataFrame, corpus: DataFrame, pages: DataFrame | None = N
     q = prepared(requests).withColumn("wanted", number(0)).withColumn("scrape_top", number(1)).withColumn("budget", budget)
     parts = q.select("query_id", "intent", "wanted", F.posexplode(T.decompose_query(F.col("query"))).alias("i", "query"))
     # some dozen hits a query: cheap to keep, dear to find again for each of the branches below
-    found = checkpointed(_ranked(parts, corpus))
-    hits = checkpointed(grounding.enrich(deep_scrape(found, pages, q.select("query_id", "scrape_top")), q, embed))
-    weak = checkpointed(grounding.weak_queries(hits).select("query_id"))
+    found = kept(_ranked(parts, corpus))
+    hits = kept(grounding.enrich(deep_scrape(found, pages, q.select("query_id", "scrape_top")), q, embed))
+    weak = kept(grounding.weak_queries(hits).select("query_id"))
     again = q.join(weak, "query_id", "left_semi")
     words = ranking.feedback_terms(quality.first(hits, 3).join(weak, "query_id", "left_semi"), again)
     added = words.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("t"))
     retry = again.join(added, "query_id", "left").select("query_id", F.lit(0).alias("i"), "intent", "wanted", F.when(F.col("t").isNotNull(), F.concat_ws(" ", "query", F.array_join("t", " "))).otherwise(F.col("query")).alias("query"))
-    again_found = checkpointed(_ranked(retry, corpus).withColumn("full_content", F.lit(None).cast("string")))
+    again_found = kept(_ranked(retry, corpus).withColumn("full_content", F.lit(None).cast("string")))
     second = grounding.enrich(again_found, q, embed)
-    both = checkpointed(ranking.rrf_fuse([hits.join(weak, "query_id", "left_semi"), second], [2.0, 1.0]))
+    both = kept(ranking.rrf_fuse([hits.join(weak, "query_id", "left_semi"), second], [2.0, 1.0]))
     final = hits.join(weak, "query_id", "left_anti").unionByName(grounding.enrich(both, q, embed), allowMissingColumns=True)
     final = compression.compress_results(quality.diversify(final), q, "budget").drop("full_content")
     counted = final.withColumn("result_count", F.count("*").over(Window.partitionBy("query_id")))
@@ -93,7 +94,7 @@ def validate(claims: DataFrame, corpus: DataFrame, embed: Embedder = V.hashed_em
     """(summary of each claim, its sources) of requests (query_id, claim, max_sources?). Grounding sees the cut list alone."""
     q = claims.withColumn("query", F.coalesce(F.col("claim"), F.lit(""))).withColumn("intent", F.lit("informational")).withColumn("sources", _limit("max_sources", 5, 10, claims.columns)).withColumn("wanted", F.col("sources") * 2)
     hits = ranking.bm25_rank(quality.filter_and_classify(C.retrieve(q, corpus, "query", 20)), q)
-    hits = checkpointed(hits.filter(F.col("pos") < 10).join(q.select("query_id", "sources"), "query_id").filter(F.col("pos") < F.col("sources")).drop("sources"))
+    hits = kept(hits.filter(F.col("pos") < 10).join(q.select("query_id", "sources"), "query_id").filter(F.col("pos") < F.col("sources")).drop("sources"))
     hits = grounding.cross_source_agreement(grounding.detect_contradictions(hits), embed)
     sources = hits.select("query_id", "pos", "url", "title", "source_tier", F.col("has_contradiction_markers").alias("has_contradictions"), F.col("agreement_score").alias("agreement"))
     return grounding.claim_summary(q.select("query_id", "query"), hits), sources
