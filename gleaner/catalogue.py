@@ -496,64 +496,3 @@ def breaker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), (F.col("item_id") % 3 == 0).alias("found"), (F.col("item_id") % 4).alias("result_count"), (F.length("text") / 100).alias("seconds"))
     return tools.accuracy(b)
-
-
-@query()
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as paragraphs of a conversation's turns, chunked; tested against a plain loop."""
-    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("t"))
-    return turns.select("conv_id", F.posexplode(T.chunk_text(F.col("t"), 200, 20)).alias("chunk", "text"))
-
-
-@query()
-def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", H.extracted(F.col("html")).alias("x")).select("page_id", "x.title", "x.content")
-
-
-@query()
-def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", H.markdown(F.col("html")).alias("markdown"))
-
-
-@query()
-def semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the hashing embedder: no sentence model is at hand."""
-    hits = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
-    return grounding.semantic_score(hits, _asked(spark)).select("query_id", "pos", "semantic_score")
-
-
-def _requests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q, 5, "quick", 900) for i, q, _ in ASKED] + [(9, "the thnt and ther of; le la les dans", 8, "standard", 1500)], "query_id long, raw_query string, max_results int, depth string, max_tokens int")
-
-
-@query()
-def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.search(_requests(spark), C.documents_as_corpus(_table(spark, sf_dir, "documents")))
-
-
-@query()
-def research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.research(_requests(spark), C.documents_as_corpus(_table(spark, sf_dir, "documents")))
-
-
-@query()
-def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = _requests(spark).select("query_id", F.col("raw_query").alias("claim"), F.lit(4).alias("max_sources"))
-    return tools.validate(claims, C.documents_as_corpus(_table(spark, sf_dir, "documents")))[0]
-
-
-@query()
-def scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.scrape(_table(spark, sf_dir, "pages"), max_tokens=200)
-
-
-@query()
-def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return tools.extract(pages, pages.filter("page_id % 3 = 0").select("url"), "the and of", 100)
-
-
-@query()
-def documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame([("https://docs.python.org/3/", "<main><h1>Docs</h1><p>" + "Modules are files. They hold functions. Loops repeat code many times. " * 5 + "</p></main>")], "url string, html string")
-    return tools.docs(spark.createDataFrame([("Python", "loops"), ("numpy", "arrays"), ("nothing", "x")], "library string, query string"), pages)

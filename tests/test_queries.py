@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from conftest import DATA
 
-from gleaner import catalogue
+from gleaner import catalogue, catalogue_tools  # noqa: F401 - the latter adds its queries to the former
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
