@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -50,3 +52,24 @@ def embed_text(text: str | None, dimensions: int = 128) -> list[float]:
 @F.pandas_udf(ArrayType(DoubleType()))
 def hashed_embedding(text: pd.Series) -> pd.Series:
     return text.map(embed_text)
+
+
+_models: dict[bytes, Callable[[list[str]], np.ndarray]] = {}
+
+
+def model_embedding(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[Column], Column]:
+    """An embedder by a model: ``load`` gives a function from texts to rows of vectors. It is called when a Python worker first needs it, and once in each.
+
+    Vectors are brought to length 1; null texts count as empty. ``load`` travels to the workers, so it must not hold the model itself.
+    """
+    key = uuid.uuid4().bytes
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(text: pd.Series) -> pd.Series:
+        if key not in _models:
+            _models[key] = load()
+        v = np.asarray(_models[key](text.fillna("").tolist()), dtype=np.float64).reshape(len(text), -1)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list(v / np.where(n > 0, n, 1)), index=text.index)
+
+    return embed

@@ -78,3 +78,17 @@ def allowed_pages(pages: DataFrame, robots: DataFrame) -> DataFrame:
     joined = pages.join(rules, U.netloc(F.col("url")) == F.col("_domain"), "left")
     path = F.when(U.part(F.col("url"), 3) == "", "/").otherwise(U.part(F.col("url"), 3))
     return joined.filter(~disallowed(F.col("_rules"), path)).drop("_domain", "_rules")
+
+
+def readable_pages(pages: DataFrame, robots: DataFrame | None = None) -> DataFrame:
+    """Stored pages (url, html, ...) as they may be read: html is null where the URL names no public host or the rules (domain, text) forbid it.
+
+    Nothing is cut from the html, so links can be found in it.
+    """
+    ok = U.is_public_literal(F.col("url"))
+    if robots is not None:
+        rules = robots.select(F.lower("domain").alias("_domain"), F.col("text").alias("_rules")).dropDuplicates(["_domain"])
+        path = F.regexp_extract("url", r"^[^:]+://[^/?#]*([^#]*)", 1)
+        pages = pages.join(rules, U.netloc(F.col("url")) == F.col("_domain"), "left")
+        ok = ok & ~disallowed(F.col("_rules"), F.when(path == "", "/").otherwise(path))
+    return pages.withColumn("html", F.when(F.coalesce(ok, F.lit(False)), F.col("html"))).drop("_domain", "_rules")

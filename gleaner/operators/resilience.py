@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
-from typing import Any
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 class TTLCache:
     """The most recently used values, up to a number and an age; expired ones go when asked for."""
 
@@ -61,6 +65,21 @@ class CircuitBreaker:
         self.failures = 0
 
 
+def retried(call: Callable[[], T], attempts: int = 3, first: float = 0.5, most: float = 8.0, on: tuple[type[Exception], ...] = (OSError,), sleep: Callable[[float], None] = time.sleep, spread: Callable[[], float] = random.random) -> T:
+    """What ``call`` gives, asked again after a failure; the last failure is raised.
+
+    The wait doubles each time, up to ``most`` seconds, and is drawn between that and one and a half times that, so that many callers don't come back at once.
+    """
+    for k in range(attempts):
+        try:
+            return call()
+        except on:
+            if k == attempts - 1:
+                raise
+            sleep(min(first * 2**k, most) * (1 + spread() / 2))
+    raise ValueError("attempts must be 1 at least")
+
+
 def breaker_states(attempts: DataFrame, failures: int = 5, seconds: float = 60) -> DataFrame:
     """Logged attempts (service, at in seconds, ok) with ``open``: whether the breaker is open just before each."""
     order = Window.partitionBy("service").orderBy("at")

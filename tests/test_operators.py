@@ -1,11 +1,15 @@
+import json
 import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import html as H
+from gleaner.functions import text as T
+from gleaner.functions import vectors as V
 from gleaner.operators import compression, grounding, links, quality, ranking, resilience
 from gleaner.plans import tools
 from gleaner.plans.server import Server
@@ -179,3 +183,74 @@ def test_deep_pages(page):
     title, text, markdown = H.extract(page)
     assert title == "" and text in ("x", "") and "x" * ("x" in page) in markdown
     assert H.hrefs(page) == [] and H.result_links(page) == []
+
+
+def test_retries_wait_longer_each_time_and_end():
+    waits, calls = [], []
+
+    def fail():
+        calls.append(1)
+        raise OSError("down")
+
+    with pytest.raises(OSError, match="down"):
+        resilience.retried(fail, attempts=4, first=1.0, most=3.0, sleep=waits.append, spread=lambda: 0.5)
+    assert len(calls) == 4 and waits == [1.25, 2.5, 3.75]
+    assert resilience.retried(iter([OSError(), 5]).__next__) is not None
+    with pytest.raises(KeyError):
+        resilience.retried(lambda: {}[1], sleep=waits.append)
+
+
+def test_readable_pages_are_guarded(spark):
+    pages = spark.createDataFrame([("https://a.example/x?q", "1"), ("https://a.example/private/y", "2"), ("http://127.0.0.1/z", "3"), ("https://b.example", "4"), (None, "5")], "url string, html string")
+    robots = spark.createDataFrame([("A.example", "User-agent: *\nDisallow: /private")], "domain string, text string")
+    assert {r.url: r.html for r in links.readable_pages(pages, robots).collect()} == {"https://a.example/x?q": "1", "https://a.example/private/y": None, "http://127.0.0.1/z": None, "https://b.example": "4", None: None}
+    assert links.readable_pages(pages).filter("html is null").count() == 2
+
+
+def test_libraries_and_synonyms_from_files(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{\n "a": "https://a.example/docs",\n "b": null\n}')
+    (tmp_path / "bad.json").write_text("[1")
+    (tmp_path / "s.json").write_text('{"term": "join", "synonyms": ["unite"]}\n{"term": null, "synonyms": []}\n')
+    assert [tuple(r) for r in tables.libraries_from_json(spark, str(tmp_path / "l.json")).collect()] == [("a", "https://a.example/docs")]
+    assert tables.libraries_from_json(spark, str(tmp_path / "bad.json")).count() == 0 == tables.libraries_from_json(spark, str(tmp_path / "none.json")).count()
+    found = tables.synonyms_from_json(spark, str(tmp_path / "s.json"))
+    assert found == {"join": ["unite"]}
+    q = spark.createDataFrame([("Fast join",)], "q string").select(T.expand_query(F.col("q"), tables.synonym_map(found)).alias("e")).first()
+    assert q.e == "fast join unite"
+
+
+def test_benchmark_results_are_written(spark, tmp_path):
+    results = spark.createDataFrame([("q2", "b", False, 0, 1.0), ("q1", "a", True, 3, 2.0)], "question string, expected string, found boolean, result_count int, seconds double")
+    tables.write_benchmark(results, tools.accuracy(results), str(tmp_path / "out"), "answers")
+    (line,) = [x for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
+    got = json.loads(line)
+    assert got["benchmark"] == "answers" and got["accuracy"] == 0.5 and got["total"] == 2
+    assert got["details"][0] == {"question": "q1", "expected": "a", "found": True, "result_count": 3}
+
+
+def test_a_model_is_loaded_once_a_worker(spark):
+    def load():
+        loads = [0]
+
+        def model(texts):
+            loads[0] += 1
+            return np.array([[len(t), 0.0] for t in texts])
+
+        return model
+
+    embed = V.model_embedding(load)
+    df = spark.createDataFrame([("abc",), ("",), (None,)], "t string").coalesce(1)
+    assert [r.v for r in df.select(embed(F.col("t")).alias("v")).collect()] == [[1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_research_reads_stored_pages(spark):
+    corpus = spark.createDataFrame([(i, f"https://s{i}.example/p", f"T{i}", f"solar power plants number {i}. They make current. " * 3) for i in range(6)], "doc_id long, url string, title string, content string")
+    long = "<article><p>" + "Always 100% of 2024 plants confirm 55 claims and all must prove 77. " * 5 + "</p></article>"
+    pages = spark.createDataFrame([("https://s0.example/p", long), ("https://s5.example/p", long), ("https://s0.example/p", long)], "url string, html string")
+    asked = spark.createDataFrame([(1, "solar power", "quick")], "query_id long, raw_query string, depth string")
+    without = {r.url: r for r in tools.research(asked, corpus).collect()}
+    found = {r.url: r for r in tools.research(asked, corpus, pages).collect()}
+    assert set(found) == set(without) and len(found) == 6
+    # the first two hits alone are looked up: the page of the first tells its densities, that of the last doesn't
+    hits = tools.deep_scrape(spark.createDataFrame([(1, p, f"https://s{p}.example/p") for p in range(6)], "query_id long, pos int, url string"), pages, spark.createDataFrame([(1, 2)], "query_id long, scrape_top int"))
+    assert {r.pos: r.full_content is not None for r in hits.collect()} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
