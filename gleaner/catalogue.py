@@ -450,7 +450,9 @@ def landed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULT_PAGES = [(1, '<table><tr><td><a class="result-link big" href="https://a.example/1">One <b>hit</b></a><tr><td>About one</td></tr><tr><td><a class="result-link" href="/ad">ad</a></td></tr><tr><td>Bought</td></tr><tr><td><a class="result-link" href="https://b.example/">Two</a></td></tr></table>'), (2, None), (3, "<p>none")]
 
 
-@query(f"SELECT * FROM {_values([(1, 0, 'https://a.example/1', 'One hit', 'About one'), (1, 1, 'https://b.example/', 'Two', '')], 'query_id, pos, url, title, content')}")
+@query(f"""WITH t AS (SELECT query_id, string_split(html, '<tr>') AS parts FROM {_values(RESULT_PAGES, "query_id, html")} WHERE html IS NOT NULL),
+r AS (SELECT query_id, i, regexp_extract(parts[i], '<a class="result-link[^"]*" href="([^"]*)">(.*?)</a>', ['url', 'label']) AS a, coalesce(parts[i + 1], '') AS behind FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM t))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS pos, a.url AS url, regexp_replace(a.label, '<[^>]*>', '', 'g') AS title, regexp_replace(behind, '<[^>]*>', '', 'g') AS content FROM r WHERE a.url <> '' AND a.url NOT LIKE '/%'""")
 def landed_result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.landed_result_pages(spark.createDataFrame(RESULT_PAGES, "query_id int, html string")).drop("engine", "score")
 

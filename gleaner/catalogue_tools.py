@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from gleaner.catalogue import _B, _CLAIM_SQL, _IDF, _K1, _NEGATION_SQL, _SENTENC
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
-from gleaner.operators import grounding
+from gleaner.operators import grounding, ranking
 from gleaner.plans import tools
 from gleaner.sources import corpus as C
 
@@ -211,6 +213,45 @@ def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.validate(claims, C.documents_as_corpus(_table(spark, sf_dir, "documents")), letters)[0]
 
 
-@query()
+# Sub-queries have number 10 * query_id + place; the last request alone falls into several.
+_PARTS = [(10 * i, q, 8) for i, q, _ in ASKED] + [(90 + i, q, 12) for i, q in enumerate(["the thnt", "ther of", "le la les dans"])]
+_SHOWN = ["query_id", "url", "content", "bm25_score", "rrf_score", "info_density", "claim_density", "agreement_score", "confidence", "confidence_level", "result_count"]
+
+
+def _named(prefix: str, ctes: str) -> str:
+    """The CTEs with another name each, so that they can be used again."""
+    names = "|".join(re.findall(r"(\w+) AS \(SELECT", ctes))
+    return re.sub(rf"\b({names})\b", rf"{prefix}\1", ctes)
+
+
+def _enriched(prefix: str, hits: str) -> str:
+    """CTEs that end in {prefix}_rich: a CTE of hits (query_id, pos, source, content, bm25_score, ...) with signals and confidence c."""
+    return f"""{_named(prefix, _agreed(hits))}, {_named(prefix, _dense(hits))},
+{prefix}_sig AS (SELECT *, round(density, 4) AS info_density, {_CLAIMED} AS claim_density FROM {hits} JOIN {prefix}agr USING (query_id, pos) JOIN {prefix}den USING (query_id, pos)),
+{prefix}_rich AS (SELECT *, least(1, greatest(0, 0.25::DOUBLE * least(bm25_score / 10, 1) + 0.2::DOUBLE * 0.4::DOUBLE + 0.15::DOUBLE * 0.7::DOUBLE + 0.1::DOUBLE * info_density + 0.1::DOUBLE * agreement_score)) AS c FROM {prefix}_sig)"""
+
+
+@query(f"""WITH q AS (SELECT query_id, query, CASE query_id WHEN 9 THEN 12 ELSE 8 END AS wanted, budget FROM {_values([(r[0], r[1], r[4]) for r in _REQUESTS], 'query_id, query, budget')}),
+parts AS (SELECT query_id, query, 'informational' AS intent, wanted FROM {_values(_PARTS, 'query_id, query, wanted')}), {_named('x', _ranked('parts', 20))},
+lists AS (SELECT query_id // 10 AS query_id, query_id % 10 AS list, pos, doc_id, source, content, bm25_score FROM xranked),
+fused AS (SELECT query_id, doc_id, any_value(source) AS source, any_value(content) AS content, arg_min(bm25_score, (list, pos)) AS bm25_score, sum(1 / (1 + 0.2::DOUBLE * list) / (61 + pos)) AS score, min((list, pos)) AS first FROM lists GROUP BY query_id, doc_id),
+found AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) - 1 AS pos, doc_id, source, content, bm25_score, CASE WHEN query_id = 9 THEN round(score, 4) END AS rrf_score FROM fused), {_enriched('f', 'found')},
+weak AS (SELECT query_id FROM f_rich WHERE pos < 3 GROUP BY query_id HAVING avg(round(c, 4)) < 0.45::DOUBLE),
+w AS (SELECT query_id, pos, len(t) AS l, unnest(t) AS term, generate_subscripts(t, 1) AS spot FROM (SELECT query_id, pos, {_words('lower(content)')} AS t FROM found JOIN weak USING (query_id) WHERE pos < 3)),
+wt AS (SELECT query_id, pos, l, term, count(*) AS tf, min(spot) AS spot FROM w GROUP BY ALL),
+wc AS (SELECT query_id, term, count(*) AS df, sum(tf / l::DOUBLE) AS share, min((pos, spot)) AS spot FROM wt JOIN q USING (query_id) WHERE length(term) >= 4 AND term NOT IN ({', '.join(map(_literal, ranking.FEEDBACK_STOPS))}) AND NOT list_contains({_words('lower(query)')}, term) GROUP BY ALL),
+wn AS (SELECT query_id, count(*) AS n FROM found JOIN weak USING (query_id) WHERE pos < 3 GROUP BY query_id),
+best AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY round(share * ln(n / (df + 1)::DOUBLE + 1), 12) DESC, spot) AS r FROM wc JOIN wn USING (query_id)),
+retry AS (SELECT query_id, query || coalesce(' ' || added, '') AS query, 'informational' AS intent, wanted FROM q JOIN weak USING (query_id) LEFT JOIN (SELECT query_id, string_agg(term, ' ' ORDER BY r) AS added FROM best WHERE r <= 5 GROUP BY query_id) USING (query_id)), {_named('y', _ranked('retry', 20))},
+two AS (SELECT query_id, 0 AS list, pos, doc_id, source, content, bm25_score FROM found JOIN weak USING (query_id) UNION ALL SELECT query_id, 1, pos, doc_id, source, content, bm25_score FROM yranked),
+again AS (SELECT query_id, doc_id, any_value(source) AS source, any_value(content) AS content, arg_min(bm25_score, (list, pos)) AS bm25_score, sum(CASE list WHEN 0 THEN 2.0 ELSE 1.0 END::DOUBLE / (61 + pos)) AS score, min((list, pos)) AS first FROM two GROUP BY query_id, doc_id),
+merged AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) - 1 AS pos, doc_id, source, content, bm25_score, round(score, 4) AS rrf_score FROM again), {_enriched('g', 'merged')},
+every AS (SELECT query_id, pos, doc_id, source, content, bm25_score, rrf_score, info_density, claim_density, agreement_score, c FROM f_rich WHERE query_id NOT IN (SELECT query_id FROM weak) UNION ALL SELECT query_id, pos, doc_id, source, content, bm25_score, rrf_score, info_density, claim_density, agreement_score, c FROM g_rich),
+few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS many FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY pos) <= 2)),
+cut AS (SELECT few.*, query_id * 100 + place AS k, query, wanted, budget FROM few JOIN q USING (query_id)),
+rows AS (SELECT k, content AS text, CASE WHEN many = 1 THEN budget ELSE greatest(200, floor(budget * (many - place) / (many * (many + 1) / 2)::DOUBLE)) END::INT AS budget FROM cut),
+terms AS (SELECT k, term, count(*) AS times FROM (SELECT k, unnest({_words('lower(query)')}) AS term FROM cut) GROUP BY ALL), {_compressed('rows', 'terms')}
+SELECT query_id, place AS pos, 'https://' || source || '.example/' || doc_id AS url, cmp.content, bm25_score, rrf_score, info_density, claim_density, agreement_score, round(c, 4) AS confidence, {_LEVEL} AS confidence_level, many AS result_count FROM cut JOIN cmp USING (k) WHERE place < wanted""")
 def research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.research(_requests(spark), C.documents_as_corpus(_table(spark, sf_dir, "documents")))
+    found = tools.research(_requests(spark), C.documents_as_corpus(_table(spark, sf_dir, "documents")), embed=letters)
+    return found.select(F.col("pos").cast("bigint").alias("pos"), *_SHOWN)
