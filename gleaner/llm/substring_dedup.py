@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm._spark import fresh, ident, mapped, pick, pieces, shuffle_partitions
+from gleaner.llm._spark import fresh, ident, mapped, pick, pieces, shuffle_partitions, written
 from gleaner.llm._text import hash_spans, mix, text_bytes, word_spans
 
 ROUNDS = 3
@@ -296,7 +296,7 @@ def _plan(docs: DataFrame, window: int, hot: int) -> tuple[DataFrame, str, str]:
     doc_id, (text,) = ident(docs), pick(docs, "text")
     text_name = next((c for c in docs.columns if c.lower() == "text"), "text")
     base = docs.withColumn(order, F.coalesce(doc_id, F.lit(LAST_ID))).withColumn(rid, F.xxhash64(doc_id, text))
-    runs = mapped(base.select(F.col(rid).alias("rid"), text), "text", _first_pass(window), "key bigint, rid bigint").repartition(parts, "key")
+    runs = written(mapped(base.select(F.col(rid).alias("rid"), text), "text", _first_pass(window), "key bigint, rid bigint"), "runs")
     salts = F.ceil(F.col("n") / hot).cast("int").alias("salts")
     twice = runs.join(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", salts), "key")
 
