@@ -248,7 +248,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, least_steps: int
 
 def labelled_sample(docs: DataFrame, per_language: int, max_train_chars: int, max_train_rows: int) -> tuple[list[str], list[str]]:
     """Texts and labels of the labelled rows of least hash, so many of each language."""
-    rows = docs.select(*pick(docs, "doc_id", "text", "lang")).filter("lang is not null and length(text) between 1 and " + str(max_train_chars))
+    rows = docs.select(*pick(docs, "doc_id", "text", "lang")).withColumn("lang", F.col("lang").cast("string")).filter("lang is not null and length(text) between 1 and " + str(max_train_chars))
     many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not many:
         return [], []

@@ -49,6 +49,29 @@ def test_probabilities_match_a_plain_computation():
         assert np.allclose(row, e / e.sum(), atol=1e-5)
 
 
+def test_fit_and_verdicts_match_a_plain_computation():
+    rng = np.random.default_rng(3)
+    words = {"en": ["weather", "the", "harbour", "and", "morning"], "de": ["wetter", "der", "hafen", "und", "morgen"]}
+    texts, labels = zip(*((" ".join(rng.choice(words[k], 12)), k) for k in ["en", "de"] * 40), strict=True)
+    model = language_id.train(list(texts), list(labels))
+    asked = ["the morning and the harbour", "qqq zzz xxyy", "der hafen 7", "", None, "\u4e2d\u6587\u4e2d\u6587"]
+    best, sure, accepted = model.verdicts(pa.array(asked, pa.string()))
+    for t, b, p, ok in zip(asked, best, sure, accepted, strict=True):
+        raw = bytes(x if x > 127 or chr(x).isalpha() else 32 for x in (t or "").lower().encode())
+        score, usual, n = np.zeros(len(model.languages)), language_id.PRIOR * model.usual_fit, 0
+        for k in language_id.ORDERS:
+            for i in range(len(raw) - k + 1):
+                if raw[i : i + k].strip():
+                    x = int.from_bytes(raw[i : i + k], "little")
+                    bucket = ((x ^ x >> 15) * (0x9E3779B1 + 2 * k) & 0xFFFFFFFF) >> 32 - language_id.BUCKET_BITS
+                    score, usual, n = score + model.table[:, bucket], usual + float(model.usual[bucket]), n + 1
+        e = np.exp(score / max(n, 1) / model.temperature)
+        want = max(e / e.sum()) if n else 0.0
+        assert np.isclose(p, want, atol=1e-5) and (not n or b == int(np.argmax(e)))
+        assert ok == bool(n and want >= model.threshold and usual / (n + language_id.PRIOR) >= model.least_fit)
+    assert accepted.tolist() == [True, False, True, False, False, False]
+
+
 def test_all_rows_are_scored_and_most_rightly(spark, scored):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     both = scored.join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -109,5 +132,8 @@ def test_odd_rows(spark):
     kept = language_id.drop_rejected(docs)
     assert kept.columns == docs.columns and not {3, 4, 5, 12} & {r.doc_id for r in kept.collect()}
     assert language_id.identify(empty(spark)).count() == 0 and language_id.drop_rejected(empty(spark)).count() == 0
+    text = spark.createDataFrame([("a-1", "the cat and the dog", "en", 1), ("7", "der hund", None, 2)], "doc_id string, text string, lang string, `x.y` int")
+    assert sorted(str(r.doc_id) for r in language_id.identify(text).collect()) == ["7", "None"]
+    assert language_id.drop_rejected(text).columns == text.columns
     bare = docs.drop("lang")
     assert language_id.identify(bare).filter("accepted").count() == 0

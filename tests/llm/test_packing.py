@@ -64,3 +64,9 @@ def test_odd_rows(spark):
             want[i] += len(t.split())
     assert words == want
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_ids_that_are_no_integers_are_packed_as_null(spark):
+    docs = spark.createDataFrame([("a-1", "one two"), ("b-2", "three"), ("3", "four")], "doc_id string, text string")
+    (row,) = packing.pack(docs, 10).collect()
+    assert row.n_tokens == 4 and sorted(map(str, row.doc_ids)) == ["3", "None", "None"]
