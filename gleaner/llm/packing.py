@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm._spark import ident, pick, written
 
-SALTS = 64
+SALTS, FULL_SALTS = 64, 4096  # of each length, and of pieces of the capacity, of which long documents make many
 _RANK = 1 << 44
 
 
@@ -103,20 +103,23 @@ def pack(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     (text,) = pick(docs, "text")
     lengths = docs.select(ident(docs), F.xxhash64(text).alias("h"), F.regexp_count(text, F.lit(r"\S+")).alias("n")).filter("n > 0")
     parts = lengths.select("doc_id", "h", F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}").cast("int")), lambda i: F.struct((i * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - i * capacity).alias("length")))).alias("p"))
-    salt = F.pmod(F.xxhash64("doc_id", "h", "p.start"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "h", "p.start"), F.when(F.col("p.length") == capacity, FULL_SALTS).otherwise(SALTS)).cast("int")
     table = written(parts.select("doc_id", "h", F.col("p.start").cast("int").alias("start"), F.col("p.length").cast("int").alias("length"), salt.alias("salt")), "pieces")
-    counts = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for row in table.groupBy("length", "salt").count().collect():  # capacity * SALTS rows at most
-        counts[row["length"], row["salt"]] = row["count"]
-    before = np.cumsum(counts, axis=1) - counts
-    start, first, uses = places(plan(counts.sum(axis=1), capacity))
+    # a place for each length and salt; those of the capacity come last, so that they may be more
+    counts = np.zeros(capacity * SALTS + FULL_SALTS, dtype=np.int64)
+    for row in table.groupBy("length", "salt").count().collect():  # as many rows at most
+        counts[row["length"] * SALTS + row["salt"]] = row["count"]
+    edges = np.r_[np.arange(capacity + 1) * SALTS, len(counts)]
+    done = np.r_[0, np.cumsum(counts)]
+    before = done[:-1] - np.repeat(done[edges[:-1]], np.diff(edges))
+    start, first, uses = places(plan(np.diff(done[edges]), capacity))
     sent = spark.sparkContext.broadcast((before, start, first, uses))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, start, first, uses = sent.value
         for batch in batches:
             length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-            key = length * _RANK + before[length, salt] + rank - 1
+            key = length * _RANK + before[length * SALTS + salt] + rank - 1
             at = np.searchsorted(start, key, side="right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(first[at] + (key - start[at]) // uses[at]), batch.column("doc_id"), batch.column("start"), batch.column("length")], names=["bin_id", "doc_id", "start", "length"])
 
