@@ -13,7 +13,9 @@ from gleaner.functions import vectors as V
 from gleaner.operators import compression, grounding, links, quality, ranking, resilience
 from gleaner.plans import tools
 from gleaner.plans.server import Server
+from gleaner.session import sized
 from gleaner.sources import tables
+from gleaner.sources.corpus import met_terms
 
 
 def hits(spark, contents, query_id=1):
@@ -254,3 +256,17 @@ def test_research_reads_stored_pages(spark):
     # the first two hits alone are looked up: the page of the first tells its densities, that of the last doesn't
     hits = tools.deep_scrape(spark.createDataFrame([(1, p, f"https://s{p}.example/p") for p in range(6)], "query_id long, pos int, url string"), pages, spark.createDataFrame([(1, 2)], "query_id long, scrape_top int"))
     assert {r.pos: r.full_content is not None for r in hits.collect()} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_terms_met_are_the_same_within_the_row_and_by_a_shuffle(spark):
+    texts = ["a b a c", "", None, "B c c d", "x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([("a",), ("c",), ("b",), ("c",), (None,)], "term string")
+    want = {i: (len((t or "").split()), {w: n for w, n in Counter((t or "").lower().split()).items() if w in "abc"}) for i, t in enumerate(texts)}
+    for most in (10_000, 1):
+        assert {r.doc_id: (r.length, {m.term: m.tf for m in r.m}) for r in met_terms(docs, "text", wanted, most).collect()} == want
+
+
+def test_only_small_tables_are_broadcast(spark):
+    plan = lambda most: spark.range(100).join(sized(spark.range(50), most), "id")._jdf.queryExecution().logical().toString()
+    assert "strategy=broadcast" in plan(50) and "strategy=broadcast" not in plan(49)
