@@ -136,3 +136,76 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 9)] + [(20, 30), (30, 20), (5, 5), (None, 3), (40, 41), (41, 42), (40, 42)]
     got = {r.u: r.v for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 10)}, 30: 20, 41: 40, 42: 40}
+
+
+def crowded(rng, rows):
+    """Signatures like those of texts in one language: each bit leans to one side, and a third of them is alike in all rows but for some noise."""
+    lean = np.where(np.arange(256) % 3 == 0, 0.1, rng.uniform(0.35, 0.65, 256))
+    return np.packbits(rng.random((rows, 256)) < lean, axis=1).view(np.uint64)
+
+
+def test_work_in_crowded_nodes_does_not_grow_with_their_square(monkeypatch):
+    rng, counted = np.random.default_rng(8), []
+    count = np.bitwise_count
+
+    def counting(x, *args, **kwargs):
+        counted.append(x.size)
+        return count(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "bitwise_count", counting)
+    work = {}
+    for n in (5_000, 20_000):
+        sig = crowded(rng, n)
+        rows = np.c_[np.zeros(n, np.int64), np.arange(n), sig.view(np.int64)]
+        counted.clear()
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["node", "id", "s0", "s1", "s2", "s3"])
+        for _ in near_dedup._forest(56, 56, 0.8, [rng.permutation(256)], 0, 7)(iter([batch])):
+            pass
+        work[n] = sum(counted) / n
+    # four words of each of the 20,000 / 2 others of a row would be 40,000
+    assert work[20_000] < 2 * work[5_000] and work[20_000] < 10_000
+
+
+def test_crowded_nodes_keep_the_recall():
+    rng = np.random.default_rng(9)
+    sig = crowded(rng, 20_000)
+    flips = np.zeros((1000, 256), dtype=np.uint8)
+    for row in flips:
+        row[rng.permutation(256)[:56]] = 1
+    sig[1:2000:2] = sig[:2000:2] ^ np.packbits(flips, axis=1).view(np.uint64)
+    for recall in (0.8, 0.95):
+        a, b = near_dedup._node_links(sig, np.arange(20_000), np.arange(256), 56, 56, recall, np.random.default_rng(1))
+        assert np.isin(np.arange(1, 2000, 2), b).mean() > recall - 0.05
+
+
+def test_shuffled_and_inner_tries_together_reach_the_recall(spark, monkeypatch):
+    distances = np.repeat(np.arange(45, 57), 150)
+    sig = pairs_apart(np.random.default_rng(6), distances)
+    rows = [(i, i, i, *map(int, s)) for i, s in enumerate(sig.view(np.int64))]
+    monkeypatch.setattr(near_dedup, "signature_table", lambda docs: docs)
+    docs = spark.createDataFrame(rows, "k long, h long, doc_id long, s0 long, s1 long, s2 long, s3 long")
+    got = {r.doc_id: r.keep_doc_id for r in near_dedup.near_duplicates(docs, leaf=8, node_rows=500).collect()}
+    linked = np.array([got.get(2 * k + 1) == 2 * k for k in range(len(distances))])
+    assert linked[distances >= 54].mean() > 0.9 and linked.mean() > 0.9
+    assert len(got) == 2 * linked.sum()
+
+
+def test_large_groups_are_exact_with_others_around():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (4, 4), dtype=np.int64).view(np.uint64)
+    sig = np.concatenate([np.repeat(base[:1], 150, axis=0), np.repeat(base[1:3], 20, axis=0), pairs_apart(rng, [8] * 10)])
+    sig[:190, 0] ^= np.uint64(1) << rng.integers(0, 64, 190).astype(np.uint64)
+    sig[190:192, 0] = sig[0, 0] ^ np.array([0b111111 << 8, 0b11111111111111 << 8], dtype=np.uint64)  # a chain away from the large group
+    sig[190:192, 1:] = sig[0, 1:]
+    order = rng.permutation(len(sig))
+    sig = sig[order]
+    _, want = brute_groups(list(range(len(sig))), sig.tolist(), 10)
+    for leaf in (4, 96, 500):
+        a, b = near_dedup._links(sig, np.arange(len(sig)), np.zeros(len(sig), np.int64), 10, leaf)
+        assert {**{i: i for i in want}, **dict(zip(b.tolist(), a.tolist(), strict=True))} == want
+        top = np.array([want[i] for i in range(len(sig))])
+        large = np.bincount(top).argmax()
+        label = np.where(top == large, large, np.arange(len(sig)))  # as if an earlier try had linked it
+        for x, y in near_dedup._close(np.ascontiguousarray(sig.T), np.full(len(sig), len(sig)), 10, leaf, label):
+            label = near_dedup._joined(label, x, y)
+        assert label.tolist() == top.tolist()
