@@ -15,15 +15,18 @@ MOST_LINKS = 100
 def discover(pages: DataFrame, most: int = MOST_LINKS, same_domain: bool = True) -> DataFrame:
     """(url, ord, link): each page's links, made absolute, the first of each canonical URL, on its own domain, of public hosts.
 
-    Duplicates go before the other filters do, and links come as written, not in canonical form.
+    Duplicates go before the other filters do, and links come as written, not in canonical form. Pages of one URL count as one: links go by their
+    place in their page, those of equal place by page_id, if there is one.
     """
-    raw = pages.select("url", F.posexplode(H.links(F.col("html"))).alias("at", "href")).filter(U.is_valid_href(F.col("href")))
+    ident = [c for c in ("page_id",) if c in pages.columns]
+    raw = pages.select("url", *ident, F.posexplode(H.links(F.col("html"))).alias("at", "href")).filter(U.is_valid_href(F.col("href")))
+    order = ["at", *ident, "href"]
     full = raw.withColumn("link", U.resolve("url", "href")).filter("link is not null")
-    once = full.withColumn("_n", F.row_number().over(Window.partitionBy("url", U.normalize_url(F.col("link"))).orderBy("at"))).filter("_n = 1")
+    once = full.withColumn("_n", F.row_number().over(Window.partitionBy("url", U.normalize_url(F.col("link"))).orderBy(*order))).filter("_n = 1")
     if same_domain:
         once = once.filter(U.netloc(F.col("link")) == U.netloc(F.col("url")))
     safe = once.filter(U.is_public_literal(F.col("link")))
-    return safe.withColumn("ord", F.row_number().over(Window.partitionBy("url").orderBy("at")) - 1).filter(F.col("ord") < most).select("url", "ord", "link")
+    return safe.withColumn("ord", F.row_number().over(Window.partitionBy("url").orderBy(*order)) - 1).filter(F.col("ord") < most).select("url", "ord", "link")
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 10, max_depth: int = 2, instructions: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import catalogue, catalogue_tools  # noqa: F401 - the latter adds its queries to the former
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
@@ -123,6 +124,19 @@ def test_crawl_and_map(spark):
     assert [r.link for r in tools.map_urls(pages.limit(1)).orderBy("ord").collect()] == ["http://s.org/a", "http://s.org/b/"]
 
 
+def test_map_takes_all_pages_of_a_url(spark):
+    pages = spark.createDataFrame([(2, "http://s.org/", "<a href='/c'>c</a><a href='/a'>a</a>"), (1, "http://s.org/", "<a href='/a'>a</a><a href='/b'>b</a>")], "page_id long, url string, html string")
+    for rows in (pages, pages.orderBy("page_id")):
+        assert [(r.ord, r.link) for r in tools.map_urls(rows).orderBy("ord").collect()] == [(0, "http://s.org/a"), (1, "http://s.org/c"), (2, "http://s.org/b")]
+    assert sorted(r.link for r in tools.map_urls(pages.drop("page_id")).collect()) == ["http://s.org/a", "http://s.org/b", "http://s.org/c"]
+
+
+def test_links_map_takes_all_pages_of_a_url(spark, tmp_path):
+    rows = [(1, "http://s.org/", '<a href="/a">a</a><a href="/b">b</a>'), (2, "http://s.org/", '<a href="/c">c</a>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.ord, r.link) for r in catalogue.QUERIES["links_map"](spark, str(tmp_path)).collect()) == [(0, "http://s.org/a"), (1, "http://s.org/c"), (2, "http://s.org/b")]
+
+
 def test_cache_and_breaker():
     now = [0.0]
     c = resilience.TTLCache(2, 10, lambda: now[0])
