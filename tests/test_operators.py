@@ -137,6 +137,20 @@ def test_links_map_takes_all_pages_of_a_url(spark, tmp_path):
     assert sorted((r.ord, r.link) for r in catalogue.QUERIES["links_map"](spark, str(tmp_path)).collect()) == [(0, "http://s.org/a"), (1, "http://s.org/c"), (2, "http://s.org/b")]
 
 
+def test_extract_takes_one_page_of_a_url_by_page_id(spark):
+    pages = spark.createDataFrame([(2, "http://s.org/", "<p>second"), (1, "http://s.org/", "<p>first"), (4, "http://s.org/n", "<p>x"), (3, "http://s.org/n", None)], "page_id long, url string, html string")
+    wanted = pages.select("url")
+    assert sorted((r.content, r.status) for r in tools.extract(pages, wanted).collect()) == [("", "error"), ("first", "ok")]
+    assert sorted(r.content for r in tools.extract(pages.drop("page_id"), wanted).collect()) == ["first", "x"]
+
+
+def test_equal_sentences_go_by_place(spark):
+    """The sentences' scores are the same but for the last bits of their sums, which favour the second."""
+    s = ["The and and and and of of of word word.", "The the the and of of of of word word.", "Other other other."]
+    df = spark.createDataFrame([(" ".join(s), "the and of")], "text string, query string")
+    assert compression.compressed(df, "text", "query", F.lit(100), "out", most=1).first().out == s[0]
+
+
 def test_cache_and_breaker():
     now = [0.0]
     c = resilience.TTLCache(2, 10, lambda: now[0])

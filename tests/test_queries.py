@@ -58,6 +58,12 @@ def page(title, text):
 CUT = [(3 * i, f"https://s.example/{i}", page(f"One &amp; two{cut}", "First words of a page &lt;here&gt; and there. Then come some others, &quot;quoted&quot; and more of the same. " * 2)) for i, cut in enumerate(["", "&amp;&amp", "&amp", "&am", "&", "&lt", "&quot"])]
 
 
-@pytest.mark.parametrize("name", ["html_text"])
+@pytest.mark.parametrize("name", ["html_text", "extract"])
 def test_cut_references_stay(spark, tmp_path, name):
     of_rows(spark, tmp_path, name, "pages", CUT, "page_id long, url string, html string")
+
+
+def test_extract_takes_the_first_page_of_a_url(spark, tmp_path):
+    text = "The words of a page and of others. " * 4
+    rows = [(3 * i, f"https://s.example/{i % 3}", page(f"Page {i}", f"Page {i}. {text}")) for i in reversed(range(9))]
+    of_rows(spark, tmp_path, "extract", "pages", rows, "page_id long, url string, html string")
