@@ -67,3 +67,9 @@ def test_extract_takes_the_first_page_of_a_url(spark, tmp_path):
     text = "The words of a page and of others. " * 4
     rows = [(3 * i, f"https://s.example/{i % 3}", page(f"Page {i}", f"Page {i}. {text}")) for i in reversed(range(9))]
     of_rows(spark, tmp_path, "extract", "pages", rows, "page_id long, url string, html string")
+
+
+def test_equally_near_sentences_go_by_place(spark, tmp_path):
+    """The fourth sentence holds the first one's letters five times, so that only the last bits tell their cosines apart."""
+    text = "Heron dune house. Lulu lulu suus. Vvv kkk vvv kkk. Heron dune house heron dune house heron dune house heron dune house heron dune house. Bbb ggg bbb ggg."
+    of_rows(spark, tmp_path, "semantic_scores", "documents", [(0, text)], "doc_id long, text string")
