@@ -58,7 +58,7 @@ def page(title, text):
 CUT = [(3 * i, f"https://s.example/{i}", page(f"One &amp; two{cut}", "First words of a page &lt;here&gt; and there. Then come some others, &quot;quoted&quot; and more of the same. " * 2)) for i, cut in enumerate(["", "&amp;&amp", "&amp", "&am", "&", "&lt", "&quot"])]
 
 
-@pytest.mark.parametrize("name", ["html_text", "html_markdown", "extract"])
+@pytest.mark.parametrize("name", ["html_text", "html_markdown", "scrape", "extract"])
 def test_cut_references_stay(spark, tmp_path, name):
     of_rows(spark, tmp_path, name, "pages", CUT, "page_id long, url string, html string")
 
